@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .attention_mil import classify
+from .decontaminate import contaminated
 from .jaccard_join import jaccard_join
 
 QUERIES: dict = {}
@@ -35,3 +37,26 @@ SELECT rep AS doc_id_a, doc_id AS doc_id_b, CAST(1.0 AS DOUBLE) AS jaccard FROM
 UNION ALL
 SELECT x, y, o / (na + nb - o)::DOUBLE FROM p WHERE o / (na + nb - o)::DOUBLE >= 0.6 - 1e-12
 """
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op8_benchmark_decontamination"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ik AS (SELECT item_id, least(5, len(ws)) AS k, unnest(list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda j: array_to_string(ws[j : j + least(5, len(ws)) - 1], ' ')))) AS g FROM i WHERE len(ws) > 0),
+n AS (SELECT item_id, count(*) AS q FROM ik GROUP BY item_id),
+ks AS (SELECT DISTINCT k FROM ik),
+dk AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j : j + k - 1], ' '))) AS g FROM d, ks WHERE len(ws) >= k)
+SELECT doc_id, ik.item_id, count(*) / any_value(q)::DOUBLE AS containment
+FROM dk JOIN ik ON dk.k = ik.k AND dk.g = ik.g JOIN n ON n.item_id = ik.item_id
+GROUP BY doc_id, ik.item_id HAVING count(*) / any_value(q)::DOUBLE >= 0.6 - 1e-12
+"""
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
