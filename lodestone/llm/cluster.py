@@ -60,7 +60,7 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def docs_of(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id as bigint, text as string, and the named further columns; other columns are left out."""
-    need(df, "doc_id", "text", *more)
+def docs_of(df: DataFrame, *more) -> DataFrame:
+    """doc_id as bigint, text as string, and further names or Columns; other columns are left out."""
+    need(df, "doc_id", "text", *(m for m in more if isinstance(m, str)))
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

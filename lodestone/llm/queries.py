@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .attention_mil import classify
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_join
+from .quality_rules import apply_rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,3 +61,8 @@ GROUP BY doc_id, ik.item_id HAVING count(*) / any_value(q)::DOUBLE >= 0.6 - 1e-1
 @query
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
