@@ -8,6 +8,7 @@ from .attention_mil import classify
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_join
 from .quality_rules import apply_rules
+from .suffix_repeats import maximal_repeats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,3 +67,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats(_table(spark, sf_dir, "documents"))
