@@ -10,6 +10,7 @@ from .decontaminate import contaminated
 from .html_content import extract
 from .jaccard_join import jaccard_join
 from .quality_rules import apply_rules
+from .recurrent_lm import score
 from .suffix_repeats import maximal_repeats
 
 QUERIES: dict = {}
@@ -89,8 +90,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_chat_formatting"] = r"""
 WITH c AS (SELECT conv_id, turn, role AS r0, text AS t0, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 s AS (SELECT *, '<|im_start|>' || role || chr(10) AS head, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)),
-p AS (SELECT *, coalesce(sum(strlen(head) + strlen(text) + 11) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + strlen(head) AS at FROM s)
+p AS (SELECT *, coalesce(sum(strlen(head) + strlen(text) + 11) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + strlen(head) AS b0 FROM s)
 SELECT conv_id, count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY rn) AS text,
-    coalesce(string_agg(at || '-' || (at + strlen(text)), ',' ORDER BY rn) FILTER (WHERE role = 'assistant'), '') AS targets
+    coalesce(string_agg(b0 || '-' || (b0 + strlen(text)), ',' ORDER BY rn) FILTER (WHERE role = 'assistant'), '') AS targets
 FROM p GROUP BY conv_id
 """
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
