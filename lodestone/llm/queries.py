@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .attention_mil import classify
+from .boosted_pii import redact
 from .chat_format import format_chats
 from .decontaminate import contaminated
 from .html_content import extract
 from .jaccard_join import jaccard_join
+from .pivotal_mix import copies
 from .quality_rules import apply_rules
 from .recurrent_lm import score
 from .suffix_repeats import maximal_repeats
@@ -100,3 +102,13 @@ FROM p GROUP BY conv_id
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_table(spark, sf_dir, "documents"))
