@@ -10,12 +10,13 @@ lowest id, which stands for them in all other pairs.
    overlaps are counted over all documents; most documents end here.
 2. *Token sets that occur several times* are reduced to one representative.
 3. The bound of step 1 again, among representatives.
-4. *Token-group matrix.*  Documents that agree in three minimum hashes and in
-   size class form a group; the matrix holds each group's token union.
+4. *Token-group matrix.*  Documents that agree in their minimum hash and in size
+   class form a group; the matrix holds each group's token union.
 5. *Group bound.*  A query's tokens, those in fewest groups first, are looked up
    in the matrix.  |x| - ceil(t|x|) + 1 + e of them must meet a group e + 1 times
    at least if any member of it is similar enough.  Only such groups of a
-   compatible size, and the query's own, are opened.
+   compatible size, and the query's own, are opened.  Of two groups only the one
+   with the lower key asks the other.
 6. Token sets of the members of opened groups are compared exactly.
 """
 
@@ -109,13 +110,10 @@ def _grouped(n: int, t: float):
                 sizes = np.diff(off)
                 has = sizes > 0
                 g = np.zeros(len(sizes), U64)
+                if has.any():
+                    g[has] = np.minimum.reduceat(textcore.mix(tokens), off[:-1][has])
+                sc = _size_class(sizes, t)
                 with np.errstate(over="ignore"):
-                    for salt in (U64(1), U64(0x51ED270B9F652295), U64(0xA24BAED4963EE407)):
-                        low = np.zeros(len(sizes), U64)
-                        if has.any():
-                            low[has] = np.minimum.reduceat(textcore.mix(tokens ^ salt), off[:-1][has])
-                        g = textcore.mix(g + low)
-                    sc = _size_class(sizes, t)
                     g = textcore.mix(g + sc.astype(U64))
                 blobs = [tokens[off[i] : off[i + 1]].tobytes() for i in range(len(sizes))]
                 out = pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column("doc_id"), np.int64)), pa.array(sizes.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(sc), pa.array(blobs, pa.binary())], ["id", "n", "g", "sc", "tokens"])
@@ -211,8 +209,9 @@ def _verified(t: float):
                 for q0, shared in _overlaps(qt, qo, mt, mo):
                     nq, nm = np.diff(qo)[q0 : q0 + len(shared)], np.diff(mo)
                     j = shared / (nq[:, None] + nm[None, :] - shared.astype(np.float64))
-                    a, b = np.nonzero((j >= t - 1e-12) & (qi[q0 : q0 + len(shared), None] < mi[None, :]))
-                    out.append((qi[q0 + a], mi[b], j[a, b]))
+                    ids = qi[q0 : q0 + len(shared), None]
+                    a, b = np.nonzero((j >= t - 1e-12) & ((ids < mi[None, :]) if table is left else (ids != mi[None, :])))
+                    out.append((np.minimum(qi[q0 + a], mi[b]), np.maximum(qi[q0 + a], mi[b]), j[a, b]))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("doc_id_a", "doc_id_b", "jaccard"), cols)))
 
@@ -248,11 +247,10 @@ def _pairs(sets: DataFrame, t: float) -> DataFrame:
     in_groups = matrix.groupBy("tok").agg(F.count("*").alias("groups")).filter("groups > 1")
     matrix = stored(matrix.join(in_groups, "tok"))
     queries = sets.groupBy("g").cogroup(matrix.groupBy("g")).applyInArrow(_looked_up(t), "id bigint, n int, g bigint, sc int, tok bigint")
-    queries = queries.withColumn("sc2", F.explode(F.array(F.col("sc") - 1, F.col("sc"), F.col("sc") + 1)))
     m = matrix.select(F.col("tok"), F.col("g").alias("g2"), F.col("sc").alias("sc2"))
     alpha = F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9))
     needed = F.least(alpha - 1, F.floor(F.col("n") / 5)) + 1
-    opened = queries.join(m, ["tok", "sc2"]).filter("g <> g2").groupBy("id", "n", "g", "g2").agg(F.count("*").alias("met")).filter(F.col("met") >= needed)
+    opened = queries.join(m, "tok").filter("g < g2 and abs(sc - sc2) <= 1").groupBy("id", "n", "g", "g2").agg(F.count("*").alias("met")).filter(F.col("met") >= needed)
     asked = opened.select("id", "g", "g2").join(sets.toDF(*sets.columns), ["id", "g"]).select("id", "n", F.col("g2").alias("g"), "sc", "tokens")
     asked = asked.toDF(*asked.columns)
     return sets.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_verified(t), "doc_id_a bigint, doc_id_b bigint, jaccard double")
