@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,7 @@ def stored(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     schema = df.schema
     del df
+    gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffles nothing refers to
     return spark.read.schema(schema).parquet(path)
 

@@ -18,6 +18,8 @@ Which suffixes can start a maximal repeat at all is found first:
 3. Only windows whose anchor is open are candidates.  Those whose L words occur
    elsewhere, after different words, are suffixes of the array.  A suffix ends
    where an anchor that occurs once rules out a longer repeat.
+   Parts with the same lowest text are built by one task, which gets the words of
+   each text once, however many of its suffixes are in them.
 4. *Interval tree.*  Each part is sorted, common prefixes of neighbours are
    measured, and a stack scan visits the intervals of the tree.  An interval of
    length L or more with two different words (or a text's start) on the left is a
@@ -142,24 +144,36 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[edge[:-1]] if len(doc) else doc, pa.int64()), "pos": cut(pos), "open": cut(open_), "any": pa.array([bool(open_[a:b].any()) for a, b in zip(edge[:-1], edge[1:])], pa.bool_())})
 
 
-def _candidates(least: int):
+CANDIDATES = (("part", np.uint64), ("left", np.uint32), ("doc", np.int64), ("start", np.uint32), ("stop", np.uint32))
+
+
+def _candidates(least: int, buckets: int):
+    """Windows whose anchor is open, packed by bucket of their hash: hash, word on the left, text, first word, limit of a suffix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n_kept = [], 0
+
+        def flush():
+            cols = [np.concatenate(x) for x in zip(*kept)]
+            b = (cols[0] % U64(buckets)).astype(np.uint16)
+            order = np.argsort(b, kind="stable")
+            edge = np.searchsorted(b[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(edge))
+            cols = [c[order].astype(k) for c, (_, k) in zip(cols, CANDIDATES)]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([c[edge[i] : edge[i + 1]].tobytes() for i in used], pa.binary()) for c in cols)], ["bucket", *(n for n, _ in CANDIDATES)])
+
         for batch in batches:
             for b in textcore.pieces(batch, "text"):
                 t = _Text(b.column("text"), least)
                 at, x = t.anchors()
                 doc = t.docs[at]
                 ids = np.asarray(b.column("doc_id"), np.int64)
-                out = []
                 edge = np.searchsorted(doc, np.arange(len(ids) + 1))
                 for i, (pos, open_) in enumerate(zip(b.column("pos").to_pylist(), b.column("open").to_pylist())):
                     own, base, stop = at[edge[i] : edge[i + 1]], t.first[i], t.first[i + 1]
-                    if not len(own):
-                        continue
                     p = np.frombuffer(b"".join(pos), np.uint32).astype(np.int64) + base
                     again = np.isin(own, p)
-                    is_open = np.isin(own, p[np.frombuffer(b"".join(open_), np.uint8) > 0])
-                    j = np.flatnonzero(is_open)
+                    j = np.flatnonzero(np.isin(own, p[np.frombuffer(b"".join(open_), np.uint8) > 0]))
                     if not len(j):
                         continue
                     low = np.maximum(own[j] - t.window + 1, base)
@@ -170,37 +184,80 @@ def _candidates(least: int):
                     start, anchor = start[ok], anchor[ok]
                     start = np.unique(start[t.low[start] == anchor])
                     once = own[~again]
+                    end = np.full(len(start), stop)
                     if len(once):
                         nxt = np.searchsorted(once, start + t.window - 1)
-                        end = np.where(nxt < len(once), once[np.minimum(nxt, len(once) - 1)] + least - 1, stop)
-                        end = np.minimum(end, stop)
-                    else:
-                        end = np.full(len(start), stop)
+                        end = np.minimum(stop, np.where(nxt < len(once), once[np.minimum(nxt, len(once) - 1)] + least - 1, stop))
                     ok = end - start >= least
                     start, end = start[ok], end[ok]
-                    left = np.where(start > base, t.words[np.maximum(start - 1, 0)] | U64(1), U64(0))
-                    out.append((t.gram(start, start + least), left, np.full(len(start), ids[i]), start - base, end - base))
-                cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, U64), np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), *(pa.array(c.astype(k)) for c, k in zip(cols[2:], (np.int64, np.int32, np.int32)))], ["part", "left", "doc_id", "start", "stop"])
+                    left = np.where(start > base, (t.words[np.maximum(start - 1, 0)] >> U64(32)) | U64(1), U64(0))
+                    kept.append((t.gram(start, start + least), left, np.full(len(start), ids[i]), start - base, end - base))
+                    n_kept += len(start)
+                    if n_kept > 200_000:
+                        yield flush()
+                        kept, n_kept = [], 0
+        if kept:
+            yield flush()
 
     return run
 
 
-def _suffixes(least: int):
+SUFFIXES = "doc_id bigint, lead bigint, part bigint, left int, start int, stop int"
+
+
+def _diverse(table: pa.Table) -> pa.Table:
+    """Candidates of one bucket whose words occur again after other words; lead: the lowest text that has them."""
+    cols = {n: np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in CANDIDATES}
+    order = np.lexsort((cols["start"], cols["doc"], cols["part"]))
+    cols = {n: c[order] for n, c in cols.items()}
+    part, doc, start = cols["part"], cols["doc"], cols["start"]
+    if len(part):
+        fresh = np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (cols["left"][1:] != cols["left"][:-1])])
+        cols = {n: c[fresh] for n, c in cols.items()}
+        part, left = cols["part"], cols["left"]
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        n = np.diff(np.append(begin, len(part)))
+        lo, hi = np.minimum.reduceat(left, begin), np.maximum.reduceat(left, begin)
+        keep = np.repeat((n > 1) & ((lo != hi) | (lo == 0)), n)
+        cols["lead"] = np.repeat(np.minimum.reduceat(cols["doc"], begin), n)
+        cols = {n: c[keep] for n, c in cols.items()}
+    else:
+        cols["lead"] = cols["doc"]
+    return pa.table({"doc_id": cols["doc"], "lead": cols["lead"], "part": cols["part"].view(np.int64), "left": cols["left"].view(np.int32), "start": cols["start"].astype(np.int32), "stop": cols["stop"].astype(np.int32)})
+
+
+SEGMENTS = "lead bigint, doc_id bigint, first int, words binary, suffixes binary"
+SUFFIX = np.dtype([("part", "<i8"), ("left", "<i4"), ("start", "<i4"), ("stop", "<i4")])
+
+
+def _segments(least: int):
+    """By text and lead: the words that its suffixes cover, once, and the suffixes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in textcore.pieces(batch, "text"):
                 t = _Text(b.column("text"), least)
                 words = t.words.astype(">u8")
                 out = ([], [], [], [], [])
-                for i, (doc, suffixes) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("suffixes").to_pylist())):
+                for i, (doc, packed) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("suffixes").to_pylist())):
                     base, n = t.first[i], t.first[i + 1] - t.first[i]
-                    for s in suffixes:
-                        # of rows that share a doc_id only those whose words are the part's belong to it
-                        if s["start"] + least <= n and t.gram(np.array([base + s["start"]]), np.array([base + s["start"] + least])).view(np.int64)[0] == s["part"]:
-                            for k, x in enumerate((s["part"], s["left"], doc, s["start"], words[base + s["start"] : base + min(s["stop"], n)].tobytes())):
-                                out[k].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["part", "left", "doc_id", "start", "words"])
+                    x = np.zeros(len(packed), SUFFIX)
+                    lead = np.fromiter((r["lead"] for r in packed), np.int64, len(packed))
+                    for k in SUFFIX.names:
+                        x[k] = [r[k] for r in packed]
+                    x["stop"] = np.minimum(x["stop"], n)
+                    # of rows that share a doc_id, a suffix belongs to those that have its words
+                    fits = x["start"] + least <= x["stop"]
+                    x, lead = x[fits], lead[fits]
+                    at = base + x["start"].astype(np.int64)
+                    own = t.gram(at, at + least).view(np.int64) == x["part"]
+                    x, lead = x[own], lead[own]
+                    for k in np.unique(lead).tolist():
+                        y = np.sort(x[lead == k], order=["part", "start"])
+                        lo, hi = int(y["start"].min()), int(y["stop"].max())
+                        for c, v in zip(out, (k, doc, lo, words[base + lo : base + hi].tobytes(), y.tobytes())):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["lead", "doc_id", "first", "words", "suffixes"])
 
     return run
 
@@ -217,10 +274,12 @@ def _common(a: bytes, b: bytes) -> int:
 def maximal_intervals(suffixes: list[tuple[bytes, int]], least: int) -> list[tuple[int, int, int]]:
     """(length, first, last) of the intervals of sorted suffixes, with what is on their left, that are maximal repeats.
 
+    The `least` words that all have in common are left out of the suffixes.
+
     left: one number for each word, or 0 for the start of a text, which differs from everything.
     """
     n = len(suffixes)
-    lcp = [0] + [_common(suffixes[i - 1][0], suffixes[i][0]) for i in range(1, n)] + [0]
+    lcp = [0] + [least + _common(suffixes[i - 1][0], suffixes[i][0]) for i in range(1, n)] + [0]
     change = np.zeros(n + 1, np.int64)  # differences of left from the row before, summed: an interval is diverse if any is inside it
     left = np.array([x for _, x in suffixes], np.int64)
     if n > 1:
@@ -239,20 +298,34 @@ def maximal_intervals(suffixes: list[tuple[bytes, int]], least: int) -> list[tup
 
 def _tree(least: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = {(d, s): (w, x) for w, x, d, s in zip(*(table.column(c).to_pylist() for c in ("words", "left", "doc_id", "start")))}
-        order = sorted(rows, key=lambda p: (rows[p][0], p))
-        found = maximal_intervals([rows[p] for p in order], least)
-        part = table.column("part")[0].as_py()
-        occ = [sorted(order[a : b + 1]) for _, a, b in found]
-        return pa.table(
-            {
-                "repeat_id": pa.array([int(textcore.mix(np.array([part], np.int64).view(U64) + U64(n)).view(np.int64)[0]) for n, _, _ in found], pa.int64()),
-                "n_words": pa.array([n for n, _, _ in found], pa.int32()),
-                "n_occurrences": pa.array([len(o) for o in occ], pa.int32()),
-                "doc_ids": pa.array([[d for d, _ in o] for o in occ], pa.list_(pa.int64())),
-                "starts": pa.array([[s for _, s in o] for o in occ], pa.list_(pa.int32())),
-            }
-        )
+        docs, firsts, words = (table.column(c).to_pylist() for c in ("doc_id", "first", "words"))
+        packed = [np.frombuffer(x, SUFFIX) for x in table.column("suffixes").to_pylist()]
+        every = np.concatenate(packed) if packed else np.zeros(0, SUFFIX)
+        who = np.repeat(np.arange(len(packed)), [len(x) for x in packed])
+        order = np.argsort(every["part"], kind="stable")
+        every, who = every[order], who[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], every["part"][1:] != every["part"][:-1]])) if len(every) else np.zeros(0, np.int64), len(every))
+        ids, sizes, counts, doc_ids, starts = [], [], [], [], []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            part, rows = int(every["part"][a]), {}
+            for i, left, start, stop in zip(who[a:b].tolist(), every["left"][a:b].tolist(), every["start"][a:b].tolist(), every["stop"][a:b].tolist()):
+                f = firsts[i]
+                rows[docs[i], start] = (words[i][8 * (start - f + least) : 8 * (stop - f)], left)
+            if len(rows) < 2:
+                continue
+            at = sorted(rows, key=lambda p: (rows[p][0], p))
+            for n, x, y in maximal_intervals([rows[p] for p in at], least):
+                occ = sorted(at[x : y + 1])
+                ids.append((part, n))
+                sizes.append(n)
+                counts.append(len(occ))
+                doc_ids.append(np.array([d for d, _ in occ], np.int64))
+                starts.append(np.array([s for _, s in occ], np.int32))
+        key = np.array(ids, np.int64).reshape(-1, 2)
+        with np.errstate(over="ignore"):
+            key = textcore.mix(key[:, 0].view(np.uint64) + key[:, 1].astype(U64)).view(np.int64) if len(ids) else np.zeros(0, np.int64)
+        lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(x) if x else [], k))
+        return pa.table({"repeat_id": key, "n_words": pa.array(sizes, pa.int32()), "n_occurrences": pa.array(counts, pa.int32()), "doc_ids": lists(doc_ids, pa.int64()), "starts": lists(starts, pa.int32())})
 
     return run
 
@@ -274,11 +347,10 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     anchors = docs.mapInArrow(_anchor_rows(min_words, nb), "bucket int, h binary, link binary, doc binary, pos binary")
     again = stored(anchors.groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, pos binary, open binary, any boolean"))
     by_doc = again.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("open").alias("open"), F.max("any").alias("any")).filter("any").drop("any")
-    some = stored(docs.join(by_doc, "doc_id"))
-    candidates = stored(some.mapInArrow(_candidates(min_words), "part bigint, left bigint, doc_id bigint, start int, stop int"))
-    diverse = F.min("left") != F.max("left")
-    parts = candidates.groupBy("part").agg(F.count("*").alias("n"), (diverse | (F.min("left") == 0) | (F.max("left") == 0)).alias("open")).filter("n > 1 and open").select("part")
-    starts = candidates.join(parts, "part", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("part", "left", "start", "stop")).alias("suffixes"))
-    suffixes = some.select("doc_id", "text").join(starts, "doc_id").mapInArrow(_suffixes(min_words), "part bigint, left bigint, doc_id bigint, start int, words binary")
-    found = suffixes.groupBy("part").applyInArrow(_tree(min_words), "repeat_id bigint, n_words int, n_occurrences int, doc_ids array<bigint>, starts array<int>")
+    some = stored(docs.join(by_doc.hint("merge"), "doc_id"))
+    packed = some.mapInArrow(_candidates(min_words, nb), "bucket int, " + ", ".join(f"{n} binary" for n, _ in CANDIDATES))
+    suffixes = packed.groupBy("bucket").applyInArrow(_diverse, SUFFIXES)
+    by_doc = stored(suffixes.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "part", "left", "start", "stop")).alias("suffixes")))
+    segments = some.select("doc_id", "text").join(by_doc.hint("merge"), "doc_id").mapInArrow(_segments(min_words), SEGMENTS)
+    found = segments.groupBy("lead").applyInArrow(_tree(min_words), "repeat_id bigint, n_words int, n_occurrences int, doc_ids array<bigint>, starts array<int>")
     return found.filter("n_occurrences > 1")
