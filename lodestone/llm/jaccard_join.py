@@ -234,10 +234,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS
     found = stored(shared_keys.sets_with_shared_keys(docs.mapInArrow(_texts_packed(n, nb), shared_keys.PACKED), threshold))
     lowest = found.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     copies = found.join(lowest, ["s1", "s2", "n"]).filter("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
-    reps = docs.join(lowest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the ids grow with the corpus, so they are never broadcast: the plan is the same at every size
+    reps = docs.join(lowest.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = stored(reps.mapInArrow(_grouped(n, threshold), TOKENS))
     near = shared_keys.sets_with_shared_keys(sets.mapInArrow(_sets_packed(nb), shared_keys.PACKED), threshold).select("id").distinct()
-    sets = stored(sets.join(near, "id", "left_semi").dropDuplicates(["id", "g"]))
+    sets = stored(sets.join(near.hint("merge"), "id", "left_semi").dropDuplicates(["id", "g"]))
     pairs = _pairs(sets, threshold).distinct()
     return copies.unionByName(pairs)
 
@@ -286,4 +287,4 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_
     """
     groups = components(jaccard_join(docs, threshold, n)).filter("doc_id <> group_id")
     key = "__doc_id_of_group"
-    return docs.join(groups.select(F.col("doc_id").alias(key)), F.col("doc_id").cast("bigint") == F.col(key), "left_anti")
+    return docs.join(groups.select(F.col("doc_id").alias(key)).hint("merge"), F.col("doc_id").cast("bigint") == F.col(key), "left_anti")
