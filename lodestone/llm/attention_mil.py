@@ -48,9 +48,13 @@ class Lexicon:
 
 def learn_lexicon(column: pa.Array, labels: np.ndarray, least: int = 3) -> Lexicon:
     """Words whose presence changes the odds of a label, by shrunken log-odds over documents."""
-    w, h = shape.ascii_words(column)
-    words, off = textcore.sets_of(h, w.docs(), len(labels))
-    docs = np.repeat(np.arange(len(labels)), np.diff(off))
+    found, at = [], 0
+    for b in textcore.pieces(pa.table({"text": column}), "text"):
+        w, h = shape.ascii_words(b.column("text"))
+        words, off = textcore.sets_of(h, w.docs(), b.num_rows)
+        found.append((words, np.repeat(np.arange(at, at + b.num_rows, dtype=np.int32), np.diff(off))))
+        at += b.num_rows
+    words, docs = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
     vocab, inverse, df = np.unique(words, return_inverse=True, return_counts=True)
     odds = np.zeros((len(vocab), len(HEADS)), np.float32)
     for k in range(len(HEADS)):
@@ -103,6 +107,13 @@ def encode(column, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(cols, axis=1).astype(np.float32), first
 
 
+def encode_all(column: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """encode(), piece by piece, so that memory doesn't grow with the text."""
+    parts = [encode(b.column("text"), lexicon) for b in textcore.pieces(pa.table({"text": column}), "text")]
+    size = np.concatenate([np.diff(f) for _, f in parts])
+    return np.concatenate([x for x, _ in parts]), np.concatenate([[0], np.cumsum(size)])
+
+
 def _softmax(e: np.ndarray, first: np.ndarray) -> np.ndarray:
     top = np.maximum.reduceat(e, first[:-1], axis=0)
     x = np.exp(e - np.repeat(top, np.diff(first), axis=0))
@@ -159,7 +170,7 @@ def train(column: pa.Array, labels: np.ndarray, part: np.ndarray, steps: int = 4
     """labels: 0/1 by head, quality stored as 1 = low; part: 0 word evidence, 1 network, 2 cut-offs."""
     take = lambda k: (column.filter(pa.array(part == k)), labels[part == k])
     lexicon = learn_lexicon(*take(0))
-    x, first = encode(take(1)[0], lexicon)
+    x, first = encode_all(take(1)[0], lexicon)
     y = take(1)[1].astype(np.float32)
     rng = np.random.default_rng(seed)
     r = lambda *s: (rng.standard_normal(s) * (1 / np.sqrt(s[0]))).astype(np.float32)
@@ -176,7 +187,7 @@ def train(column: pa.Array, labels: np.ndarray, part: np.ndarray, steps: int = 4
             p[k] = (p[k] - 0.02 * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     held, y = take(2)
     if len(y):
-        prob = m.score(held)
+        prob = m.forward(*encode_all(held, lexicon))["prob"]
         clean = prob[(y == 0).all(axis=1)]
         if len(clean):
             m.cut = np.maximum(0.5, np.quantile(clean, 1 - false_rejection / len(HEADS), axis=0))
