@@ -37,7 +37,7 @@ U64 = np.uint64
 N_WORDS = 3
 THRESHOLD = 0.6
 TOKENS = "id bigint, n int, g bigint, sc int, tokens binary"
-_MATRIX_CELLS = 40_000_000
+_MATRIX_CELLS = 8_000_000
 
 
 def _token_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
