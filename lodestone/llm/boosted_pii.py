@@ -177,9 +177,9 @@ def _examples(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
         a = text.find(s, len(text) - len(text.lstrip()))
         b = a + len(s)
         for x, y, k in candidates(text):
-            # a candidate that covers a personal span is personal; proposed as another kind, or in part only, it isn't taken for training
-            if (x, y) == (a, b) and (k == kind or not is_personal):
-                out.append((text, x, y, k, is_personal))
+            # the span proposed as another kind isn't that; spans in part only aren't taken for training
+            if (x, y) == (a, b):
+                out.append((text, x, y, k, int(is_personal and k == kind)))
     return out
 
 
