@@ -1,0 +1,324 @@
+"""Classifier, language model, PII judge, rules, mixing, HTML and chats."""
+
+import math
+import re
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestone.llm import attention_mil, boosted_pii, chat_format, html_content, pivotal_mix, quality_rules, recurrent_lm
+
+DOCS = "doc_id bigint, text string"
+
+
+# ---- classifier
+
+
+def labelled(n, seed=0):
+    r = np.random.default_rng(seed)
+    vocab = ["alpha", "beta", "gamma", "delta", "one", "two", "three", "river", "stone", "cloud"]
+    rows, labels = [], []
+    for i in range(n):
+        w = list(r.choice(vocab, int(r.integers(20, 400))))
+        toxic, low = i % 5 == 0, i % 7 == 0
+        if toxic:
+            w[int(r.integers(len(w)))] = "vilest"
+        text = " | ".join(w) if low else " ".join(w) + "."
+        rows.append((i, text))
+        labels.append((i, int(not low), int(toxic)))
+    return rows, labels
+
+
+def test_classifier_on_held_out_documents(spark):
+    rows, labels = labelled(900)
+    more, truth = labelled(300, 1)
+    d, l = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    m = attention_mil.fitted(d, l)
+    p = m.score(pa.array([t for _, t in more], pa.large_string()))
+    y = np.array([[1 - q, t] for _, q, t in truth])
+    assert ((p > m.cut) == y).mean() > 0.97
+    # a single toxic word in a long text is found by attention over its passages
+    long = " ".join(["river stone"] * 3000)
+    a, b = m.score(pa.array([long + ".", long + " vilest " + long + "."], pa.large_string()))[:, 1]
+    assert b > 0.5 > a
+
+
+def test_classifier_odd_rows(spark):
+    rows, labels = labelled(200)
+    rows += [(None, None), (900, None), (901, ""), (902, "x" * 300_000), (1, rows[1][1])]
+    d = spark.createDataFrame(rows, DOCS).withColumn("keep", F.lit(1)).withColumn("quality", F.lit("z"))
+    l = spark.createDataFrame(labels + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int").withColumn("text", F.lit("t"))
+    got = attention_mil.classify(d, l)
+    assert got.count() == len(rows) and got.filter("keep is null or quality_score is null").count() == 0
+    assert attention_mil.accepted(d, l).schema == d.schema
+    assert attention_mil.classify(d, l.limit(0)).filter("keep").count() == len(rows)
+    assert attention_mil.classify(d.limit(0), l).count() == 0
+
+
+def test_attention_gradient():
+    r = np.random.default_rng(1)
+    h, a, k = attention_mil.HIDDEN, attention_mil.ATTENTION, 2
+    p = {"w": r.standard_normal((5, h)), "b": np.zeros(h), "v": r.standard_normal((h, a)), "u": r.standard_normal((h, a)), "a": r.standard_normal((a, k)), "o": r.standard_normal((k, h)), "c": np.zeros(k)}
+    m = attention_mil.Model(None, np.zeros(5), np.ones(5), p, np.zeros(2))
+    x, first, y = r.standard_normal((9, 5)), np.array([0, 2, 3, 9]), np.array([[0, 1], [1, 0], [1, 1.0]])
+    loss = lambda: -(y * np.log(f := m.forward(x, first)["prob"]) + (1 - y) * np.log(1 - f)).sum() / len(y)
+    g = attention_mil._gradient(m, x, first, y, np.ones_like(y))
+    for n in p:
+        for ix in [tuple(int(r.integers(s)) for s in p[n].shape) for _ in range(4)]:
+            e, o = 1e-6, p[n][ix]
+            p[n][ix] = o + e
+            hi = loss()
+            p[n][ix] = o - e
+            lo = loss()
+            p[n][ix] = o
+            assert abs((hi - lo) / 2 / e - g[n][ix]) < 1e-6
+
+
+# ---- language model
+
+
+def test_scores_don_t_depend_on_lanes():
+    r = np.random.default_rng(0)
+    p, sizes = recurrent_lm.initial(), r.integers(1, 90, 40)
+    tokens, first = r.integers(0, 4096, sizes.sum()).astype(np.int16), np.concatenate([[0], np.cumsum(sizes)])
+    many = recurrent_lm.score_texts(p, tokens, first, 7)
+    one = np.array([recurrent_lm.score_texts(p, tokens[a:b], np.array([0, b - a]), 1)[0] for a, b in zip(first[:-1], first[1:])])
+    assert np.abs(many - one).max() < 1e-3
+
+
+def test_probabilities_add_up_to_one():
+    p, h = recurrent_lm.initial(), np.random.default_rng(0).standard_normal((1, recurrent_lm.SIZE)).astype(np.float32)
+    every = np.arange(recurrent_lm.CLASSES * recurrent_lm.PER_CLASS)
+    assert abs(np.exp(recurrent_lm.log_probabilities(p, np.repeat(h, len(every), axis=0), every)).sum() - 1) < 1e-3
+
+
+def test_training_learns_order():
+    r = np.random.default_rng(0)
+    cycle = np.tile(np.arange(2, 12), 24_000)[: 64 * 3200]
+    first = np.arange(0, len(cycle) + 1, 64)
+    p, _ = recurrent_lm.train_texts(recurrent_lm.initial(), cycle.astype(np.int16), first)
+    fresh = np.tile(np.arange(2, 12), 10).astype(np.int16)
+    shuffled = r.permutation(fresh)
+    at = np.array([0, len(fresh)])
+    assert recurrent_lm.score_texts(p, fresh, at)[0] / 100 > -1 > recurrent_lm.score_texts(p, shuffled, at)[0] / 100
+
+
+def test_counts_cover_the_corpus(spark):
+    rows = [(1, "a b a"), (2, "a c"), (3, None), (4, "B b")]
+    v = recurrent_lm.vocabulary(spark.createDataFrame(rows, DOCS))
+    tokens, first, spelled = v.tokens(pa.array(["a b c zz", None, "A"]))
+    assert first.tolist() == [0, 5, 6, 8] and tokens[[4, 5, 7]].tolist() == [0, 0, 0]
+    a, b, c, zz = tokens[:4].tolist()
+    assert {a, b} == {2, 3} and c == 4 and zz == recurrent_lm.OTHER and tokens[6] == a
+    assert spelled[0] < 0 and spelled[1] == spelled[2] == 0
+
+
+def test_lm_odd_rows(spark):
+    rows = [(i, "red green blue yellow " * (i % 5 + 1)) for i in range(40)] + [(None, "red"), (50, None), (51, ""), (52, "red " * 30_000), (0, "again")]
+    d = spark.createDataFrame(rows, DOCS).withColumn("n_tokens", F.lit("x"))
+    got = {(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in recurrent_lm.score(d).collect()}
+    assert len(got) == len(rows) and got[50, 1] == got[51, 1] and all(math.isfinite(x) and x < 0 for x in got.values()) and (52, 30_001) in got
+    assert recurrent_lm.score(d.limit(0)).count() == 0
+
+
+# ---- mixing
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.floats(0, 1), max_size=40), st.integers(0, 1000))
+def test_pivotal_keeps_the_sum(x, seed):
+    out, hold = pivotal_mix.pivotal(np.array(x, float), np.random.default_rng(seed).random(len(x)))
+    assert abs(out.sum() - sum(x)) < 1e-6
+    assert all(min(abs(v), abs(v - 1)) < 1e-6 for i, v in enumerate(out) if i != hold)
+
+
+def test_pivotal_keeps_each_expectation():
+    x, total = np.array([0.2, 0.5, 0.9, 0.4, 0.7, 0.3]), np.zeros(6)
+    r = np.random.default_rng(0)
+    for _ in range(20_000):
+        total += pivotal_mix.pivotal(x, r.random(6))[0]
+    assert np.abs(total / 20_000 - x).max() < 0.015
+
+
+def test_copies(spark):
+    rows = [(i, "hot" if i < 3000 else f"s{i % 3}", 100) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, n_chars bigint").withColumn("block", F.lit("x"))
+    c = pivotal_mix.copies(d, block=64).toPandas()
+    assert len(c) == 4000 and c.doc_id.is_unique
+    chars = d.groupBy("source").agg(F.sum("n_chars").alias("c")).toPandas().set_index("source").c
+    want = (chars**0.5) / (chars**0.5).sum() * chars.sum() / chars
+    for s, g in c.groupby("source"):
+        assert abs(g.copies.sum() - want[s] * len(g)) <= 1 + 1e-6
+        assert set(g.copies) <= {math.floor(want[s]), math.ceil(want[s])}
+    again = pivotal_mix.copies(d.repartition(9), block=64).toPandas()
+    assert c.sort_values("doc_id").copies.tolist() == again.sort_values("doc_id").copies.tolist()
+    w = pivotal_mix.copies(d, {"hot": 1, "s0": 3}, block=64).toPandas().groupby("source").copies.sum()
+    assert w["s1"] == w["s2"] == 0 and abs(w["hot"] - 1000) <= 1 and abs(w["s0"] - 3000) <= 1
+
+
+def test_mixing_odd_rows(spark):
+    rows = [(1, "a", "xx"), (1, "a", "xx"), (2, None, "yyy"), (None, "a", "z"), (3, "b", None), (4, "a", "")]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    c = pivotal_mix.copies(d).toPandas()
+    assert len(c) == 5
+    m = pivotal_mix.mixed(d)
+    assert m.columns == [*d.columns, "copy"]
+    n = {(r["doc_id"], r["source"]): r["n"] for r in m.groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()}
+    assert n.get((3, "b")) == 1
+    assert pivotal_mix.mixed(d.limit(0)).count() == 0
+
+
+# ---- PII
+
+
+def test_judge_on_fresh_examples():
+    judge, rows = boosted_pii.trained(), boosted_pii._examples(1500, 77)
+    x, y, k = np.array([boosted_pii.features(*r[:4]) for r in rows]), np.array([r[4] for r in rows]), [r[3] for r in rows]
+    ok = judge.probability(x) >= np.array([judge.threshold[a] for a in k])
+    assert ok[y == 1].mean() > 0.97 and y[ok].mean() > 0.97
+
+
+def test_redaction():
+    judge = boosted_pii.trained()
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    text = f'mail a.b@mail1.example.com or +1 (443) 555-5793, from 10.20.130.4, card 4516744854574821, token = "{secret}" ok'
+    out, spans, n = boosted_pii._redacted(judge, text)
+    assert out == 'mail <EMAIL> or <PHONE>, from <IP>, card <CARD>, token = "<SECRET>" ok' and n == 5
+    for clean in ("version 1.2.3.4 of 2024-01-30", "in 1999 there were 1200 of 350 items.", "Licensed under CC BY-NC 4.0.", "pages 120-135", "no digits here"):
+        assert boosted_pii._redacted(judge, clean) == (clean, "", 0), clean
+    joined, _, _ = boosted_pii._redacted(judge, "+1 (826) 555-4081 190.137.223.204 x")
+    assert not re.search(r"\d", joined)
+
+
+def test_redaction_odd_rows(spark):
+    rows = [(1, None, 5), (2, "", 0), (None, "a@b.example.com", 15), (3, "word " * 50_000 + "a@b.example.com", None), (3, "plain", 5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int").withColumn("spans", F.lit(1))
+    assert boosted_pii.redact(d).count() == 5
+    got = boosted_pii.redacted_docs(d)
+    assert got.schema == d.schema
+    rows = {(r["doc_id"], r["n_chars"]): r["text"] for r in got.collect()}
+    assert rows[1, 5] is None and rows[None, 7] == "<EMAIL>" and rows[3, 5] == "plain" and rows[3, 250_007].endswith("<EMAIL>")
+    assert boosted_pii.redact(d.limit(0)).count() == 0
+
+
+# ---- rules
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 12), st.integers(0, 12), st.floats(0.01, 0.99))
+def test_binomial_tail_is_exact(k, n, p):
+    q = Fraction(p)
+    want = sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(min(k, n) + 1))
+    assert quality_rules.binomial_tail(k, n, p) == pytest.approx(float(want), rel=1e-9)
+
+
+def test_cut_offs_match_brute_force(spark):
+    r = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(3000):
+        low = i % 10 == 0
+        w = [f"w{x}" if low and r.random() < 0.9 else "word" for x in r.integers(0, 9, 30)]
+        rows.append((i, " | ".join(w) if low else " ".join(f"{a}{b}" for a, b in zip(w, "abcdefghijklmnopqrstuvwxyzabcd")), "en" if i % 3 else None))
+        labels.append((i, int(not low)))
+    d, l = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("keep", F.lit(1)), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    cuts = quality_rules.cut_offs(quality_rules.described(d), l, limit=0.1)
+    s = quality_rules.described(d).toPandas().merge(l.toPandas(), on="doc_id")
+    want = {}
+    tests = s.stratum.nunique() * len(quality_rules.RULES)
+    for stratum, g in s.groupby("stratum"):
+        for rule, (stat, way, grid) in quality_rules.RULES.items():
+            best = 0.0
+            good, bad = g[g.quality == 1][stat], g[g.quality == 0][stat]
+            for cut in grid:
+                f = (good > cut).sum() if way > 0 else (good < cut).sum()
+                t = (bad > cut).sum() if way > 0 else (bad < cut).sum()
+                if quality_rules.binomial_tail(int(f), len(good), 0.1 / len(quality_rules.RULES)) > 0.05 / tests:
+                    break
+                if t / len(bad) - f / len(good) > best:
+                    best, want[stratum, rule] = t / len(bad) - f / len(good), cut
+    assert cuts == want and cuts
+    out = quality_rules.apply_rules(d, l, limit=0.1).toPandas().merge(l.toPandas(), on="doc_id")
+    assert (~out[out.quality == 1].keep).mean() < 0.1 and (~out[out.quality == 0].keep).mean() > 0.9
+
+
+def test_rules_odd_rows(spark):
+    d = spark.createDataFrame([(1, None, "en"), (None, "", None), (2, "x y", "de"), (2, "x y", "de"), (3, "z" * 200_000, "en")], "doc_id bigint, text string, lang string")
+    l = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id bigint, quality int")
+    assert quality_rules.apply_rules(d, l).filter("keep").count() == 5
+    assert quality_rules.apply_rules(d.drop("lang"), l).count() == 5 and quality_rules.apply_rules(d.limit(0), l).count() == 0
+
+
+# ---- HTML
+
+
+def test_content_region():
+    body = "".join(f"<p>{'some words of the main text ' * 8}{i}</p>" for i in range(6))
+    nav = "<ul>" + "".join(f"<li><a href='/{i}'>link</a></li>" for i in range(12)) + "</ul>"
+    page = f"<html><head><title>T</title><style>p{{}}</style><script>var a='<p>no</p>'</script></head><body><nav>{nav}</nav><!-- c --><article>{body}</article><footer>{nav}</footer></body></html>"
+    text, n, kept = html_content.content(page)
+    assert kept >= 6 and "main text" in text and "var a" not in text and "link" not in text.splitlines()[2:-2]
+    assert [int(x[-1]) for x in text.splitlines() if "main text" in x] == list(range(6))
+
+
+def test_smoothing_is_the_gaussian_mean():
+    x = np.random.default_rng(0).random(9)
+    k = lambda d: math.exp(-d * d / 2) if abs(d) <= 3 else 0
+    want = [sum(k(i - j) * x[j] for j in range(9)) / sum(k(i - j) for j in range(9)) for i in range(9)]
+    assert np.allclose(html_content.smoothed(x, 1.0), want)
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "plain text only"), (3, "u", "<p>"), (3, "u", "<" * 500), (4, "u", "<div>" * 3000 + "deep"), (5, "u", "&amp;" * 60_000)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))
+    got = html_content.extract(d).collect()
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got}[None] == "plain text only"
+    assert html_content.extract(d.limit(0)).count() == 0
+
+
+# ---- chats
+
+
+def brute_chat(turns):
+    clean = lambda s: s.replace("<|", "< |")
+    out, spans = b"", []
+    for _, role, text in turns:
+        role, text = clean("unknown" if role is None else role), clean(text or "").encode()
+        out += f"<|im_start|>{role}\n".encode()
+        if role == "assistant":
+            spans.append(f"{len(out)}-{len(out) + len(text)}")
+        out += text + b"<|im_end|>\n"
+    return out.decode(), ",".join(spans)
+
+
+def test_chats(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    rows = [(int(c), int(t), str(r.choice(["user", "assistant"])), "é<|x" * int(r.integers(0, 4))) for c in range(50) for t in r.permutation(int(r.integers(1, 6)))]
+    rows += [(None, 1, "user", "a"), (None, 0, None, None), (7, None, "system", "s"), (8, 0, "user", "tie"), (8, 0, "user", "tie"), (99, 0, "assistant", "long " * 100_000)]
+    monkeypatch.setattr(chat_format, "_LIMIT", 2000)
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("targets", F.lit(1))
+    got = {x["conv_id"]: x for x in chat_format.format_chats(d).collect()}
+    by = {}
+    for c, *rest in rows:
+        by.setdefault(c, []).append(tuple(rest))
+    low = lambda v: (v is not None, v if v is not None else "")
+    for c, turns in by.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, low(t[1]), low(t[2])))
+        assert (got[c]["text"], got[c]["targets"]) == brute_chat(turns) and got[c]["n_turns"] == len(turns)
+    assert len(got) == len(by) and chat_format.format_chats(d.limit(0)).count() == 0
+
+
+def test_batches_that_end_within_a_conversation():
+    rows = [(c, "user" if t % 2 else "assistant", f"t{t}") for c in (1, 1, 1, 2, None, None, 3) for t in range(3)]
+    t = pa.table({"conv_id": pa.array([r[0] for r in rows], pa.int64()), "role": [r[1] for r in rows], "text": [r[2] for r in rows]})
+    old, chat_format._LIMIT = chat_format._LIMIT, 1
+    try:
+        cut = [b for b in chat_format._format(iter(t.slice(i, 4).combine_chunks().to_batches()[0] for i in range(0, len(rows), 4)))]
+    finally:
+        chat_format._LIMIT = old
+    got = pa.Table.from_batches(cut)
+    assert got.column("conv_id").to_pylist() == [1, 2, None, 3] and got.column("n_turns").to_pylist() == [9, 3, 6, 3]
