@@ -135,10 +135,13 @@ class Model:
         x = np.clip((x - self.mean) / self.scale, -6, 6)
         h = np.tanh(x @ p["w"] + p["b"])
         v, u = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
-        a = _softmax((v * u) @ p["a"], first)
+        # scaled with the logarithm of the number of passages, so that one of many can still stand out
+        n = np.diff(first)
+        s = np.repeat(1 + np.log(n), n)[:, None]
+        a = _softmax(((v * u) @ p["a"]) * s, first)
         z = np.stack([np.add.reduceat(a[:, k : k + 1] * h, first[:-1], axis=0) for k in range(len(HEADS))], axis=1)
         logit = (z * p["o"]).sum(axis=2) + p["c"]
-        return {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "prob": 1 / (1 + np.exp(-np.clip(logit, -40, 40)))}
+        return {"x": x, "h": h, "v": v, "u": u, "s": s, "a": a, "z": z, "prob": 1 / (1 + np.exp(-np.clip(logit, -40, 40)))}
 
     def score(self, column) -> np.ndarray:
         """Probability of each head for each text."""
@@ -155,7 +158,7 @@ def _gradient(m: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight:
     dh = (dz * f["a"][:, :, None]).sum(axis=1)
     da = (dz * f["h"][:, None, :]).sum(axis=2)
     mean = np.repeat(np.add.reduceat(da * f["a"], first[:-1], axis=0), n, axis=0)
-    de = f["a"] * (da - mean)
+    de = f["a"] * (da - mean) * f["s"]
     g["a"] = (f["v"] * f["u"]).T @ de
     dvu = de @ p["a"].T
     dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
