@@ -349,3 +349,28 @@ def combine(a: Column, b: Column) -> Column:
     fits = lambda x, y: (x == y) | F.startswith(y, F.concat(x, F.lit("/"))) | (x == "")
     lang = F.when(fits(la, lb), la).when(fits(lb, la), lb).otherwise(F.raise_error(F.concat(F.lit("languages don't fit: "), la, F.lit(", "), lb)).cast("string"))
     return F.struct(F.concat(a["text"], b["text"]).alias("text"), lang.alias("language"))
+
+
+def extract_text(x: C, stop: Sequence[str] = (), sep: str = "\n", inner: str = "\t") -> Column:
+    """All texts of nested JSON, ASCII only: items of the top level on lines, those below between tabs; keys in stop are left out."""
+    import json
+
+    skipped = set(stop)
+
+    def walk(v) -> list[str]:
+        if isinstance(v, dict):
+            return [t for k, y in v.items() if k not in skipped for t in walk(y)]
+        if isinstance(v, list):
+            return [t for y in v for t in walk(y)]
+        return [] if v is None else [unicodedata.normalize("NFKD", str(v)).encode("ascii", "ignore").decode().strip()]
+
+    def top(s: str) -> str:
+        v = json.loads(s)
+        items = [y for k, y in v.items() if k not in skipped] if isinstance(v, dict) else v if isinstance(v, list) else [v]
+        return sep.join(inner.join(walk(y)) for y in items if y is not None)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(top, na_action="ignore")
+
+    return run(col(x))
