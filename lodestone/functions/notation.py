@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .text import C, col
 
 
-class DastSyntaxError(ValueError):
-    """Text that isn't DAST, with the place."""
+class NotationError(ValueError):
+    """Text that isn't the notation, with the place."""
 
 
 class Record(dict):
@@ -113,12 +113,12 @@ class _Reader:
             return
         m = _TOKEN.match(self.text, self.at)
         if not m:
-            raise DastSyntaxError(f"unexpected text at {self.at}: {self.text[self.at : self.at + 20]!r}")
+            raise NotationError(f"unexpected text at {self.at}: {self.text[self.at : self.at + 20]!r}")
         self.at, self.kind, self.value = m.end(), m.lastgroup, m[m.lastgroup]
 
     def take(self, mark: str) -> None:
         if self.kind != "mark" or self.value != mark:
-            raise DastSyntaxError(f"{mark!r} is missing before {self.at}")
+            raise NotationError(f"{mark!r} is missing before {self.at}")
         self.next()
 
     def is_(self, mark: str) -> bool:
@@ -132,7 +132,7 @@ class _Reader:
             if comma:
                 self.next()
             elif not self.is_(close):
-                raise DastSyntaxError(f"',' or {close!r} is missing before {self.at}")
+                raise NotationError(f"',' or {close!r} is missing before {self.at}")
         self.next()
         return out, comma
 
@@ -155,7 +155,7 @@ class _Reader:
     def read(self) -> Any:
         kind, v = self.kind, self.value
         if kind is None:
-            raise DastSyntaxError("the text ends too early")
+            raise NotationError("the text ends too early")
         self.next()
         if kind == "stamp":
             return dt.datetime.fromisoformat(v)
@@ -179,11 +179,11 @@ class _Reader:
                 return tuple(items) if comma or len(items) != 1 else items[0]
             if v == "{":
                 return dict(self.list_("}", self.pair)[0])
-            raise DastSyntaxError(f"unexpected {v!r} before {self.at}")
+            raise NotationError(f"unexpected {v!r} before {self.at}")
         if v in ("true", "false", "nan", "inf") and not self.is_("("):
             return {"true": True, "false": False, "nan": float("nan"), "inf": float("inf")}[v]
         if not self.is_("("):
-            raise DastSyntaxError(f"unknown word {v!r} before {self.at}")
+            raise NotationError(f"unknown word {v!r} before {self.at}")
         self.next()
         args = self.list_(")", self.argument)[0]
         plain = [x for k, x in args if k is None]
@@ -206,7 +206,7 @@ def decode(text: str, known: dict[str, Callable] | None = None) -> Any:
     r = _Reader(text, known)
     v = r.read()
     if r.kind is not None:
-        raise DastSyntaxError(f"text is left at {r.at}")
+        raise NotationError(f"text is left at {r.at}")
     return v
 
 
@@ -238,8 +238,8 @@ def to_json(v: Any) -> str:
     return json.dumps(plain(v), ensure_ascii=False)
 
 
-def dast_encode(x: C, layout: int = 0) -> Column:
-    """DAST of JSON text."""
+def notation_encode(x: C, layout: int = 0) -> Column:
+    """The notation of JSON text."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -248,15 +248,15 @@ def dast_encode(x: C, layout: int = 0) -> Column:
     return run(col(x))
 
 
-def dast_decode(x: C) -> Column:
-    """VARIANT of DAST text; null for what can't be read."""
+def notation_decode(x: C) -> Column:
+    """VARIANT of the notation; null for what can't be read."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(v):
             try:
                 return to_json(decode(v))
-            except DastSyntaxError:
+            except NotationError:
                 return None
 
         return s.map(one, na_action="ignore")

@@ -281,8 +281,8 @@ _q("q81_ascii", "documents", lambda d: d.select("doc_id", text.ascii_fold("text"
 _q("q82_weighted_levenshtein", "part", lambda d: d.select("p_partkey", distance.levenshtein("p_name", "p_type", 0.5, 0.1).alias("d")))
 _q("q83_align_substring", "part", lambda d: d.select("p_partkey", distance.align_substring(F.substring("p_type", 1, 6), "p_name").alias("a")).select("p_partkey", "a.*"))
 _q("q84_align_multiple", "part", lambda d: distance.align_groups(d.filter("p_partkey <= 200").select("p_partkey", "p_brand", "p_name"), "p_brand", "p_partkey", "p_name"))
-_q("q85_redex_links", "pages", lambda d: d.select("page_id", F.explode(markup.pattern_match_all("html", '<a href="{HREF}">{TEXT ..}</a>')).alias("m")).select("page_id", F.col("m")["HREF"].alias("href"), F.col("m")["TEXT"].alias("txt")))
-_q("q86_redex_titles", "pages", lambda d: d.select("page_id", markup.pattern_match("html", "<title>{TITLE ..}</title>")["TITLE"].alias("title")))
+_q("q85_pattern_links", "pages", lambda d: d.select("page_id", F.explode(markup.pattern_match_all("html", '<a href="{HREF}">{TEXT ..}</a>')).alias("m")).select("page_id", F.col("m")["HREF"].alias("href"), F.col("m")["TEXT"].alias("txt")))
+_q("q86_pattern_titles", "pages", lambda d: d.select("page_id", markup.pattern_match("html", "<title>{TITLE ..}</title>")["TITLE"].alias("title")))
 _q("q87_node_texts", "pages", lambda d: d.select("page_id", F.size(markup.node_texts("html", "nav a")).alias("n"), markup.node_text("html", "article h1").alias("h1")))
 _q("q88_partial_sort", "events", lambda d: sets.partial_sort(d.select("event_id", "user_id", "value"), 4, "value", ["event_id"], ["user_id"]))
 

@@ -132,7 +132,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-# ---- DAST files
+# ---- Files of the notation
 
 
 class _File(InputPartition):
@@ -140,7 +140,7 @@ class _File(InputPartition):
         super().__init__(path)
 
 
-class _DastReader(DataSourceReader):
+class _NotationReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
 
@@ -149,38 +149,38 @@ class _DastReader(DataSourceReader):
         return [_File(p) for p in found if not os.path.basename(p).startswith(("_", "."))]
 
     def read(self, partition) -> Iterator[tuple]:
-        from ..functions import dast
+        from ..functions import notation
 
         with open(partition.value, encoding="utf-8") as f:
-            for i, v in enumerate(dast.load(f.read()), 1):
-                yield partition.value, i, dast.to_json(v)
+            for i, v in enumerate(notation.load(f.read()), 1):
+                yield partition.value, i, notation.to_json(v)
 
 
-class DastSource(DataSource):
-    """`spark.read.format("dast").load(path)`: path, _pos and each value as JSON; one task for each file."""
+class NotationSource(DataSource):
+    """`spark.read.format("notation").load(path)`: path, _pos and each value as JSON; one task for each file."""
 
     @classmethod
     def name(cls) -> str:
-        return "dast"
+        return "notation"
 
     def schema(self) -> str:
         return "path string, _pos bigint, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _DastReader(self.options)
+        return _NotationReader(self.options)
 
 
-def read_dast(spark: SparkSession, path: str) -> DataFrame:
-    """DAST files with `value` as VARIANT."""
-    spark.dataSource.register(DastSource)
-    return spark.read.format("dast").load(path).withColumn("value", F.parse_json("value"))
+def read_notation(spark: SparkSession, path: str) -> DataFrame:
+    """Files of the notation with `value` as VARIANT."""
+    spark.dataSource.register(NotationSource)
+    return spark.read.format("notation").load(path).withColumn("value", F.parse_json("value"))
 
 
-def write_dast(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Each row as a DAST line."""
-    from ..functions.dast import dast_encode
+def write_notation(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Each row as a line of the notation."""
+    from ..functions.notation import notation_encode
 
-    df.select(dast_encode(F.to_json(F.struct(*df.columns))).alias("value")).write.mode(mode).text(path)
+    df.select(notation_encode(F.to_json(F.struct(*df.columns))).alias("value")).write.mode(mode).text(path)
 
 
 # ---- data bases

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.functions import dast, distance, markup, numbers, text, textmodel
+from lodestone.functions import notation, distance, markup, numbers, text, textmodel
 from lodestone.plans.pipeline import Pipeline, ensemble, grid, sweep
 
 
@@ -122,23 +122,23 @@ def test_patterns(spark):
     assert one(spark, markup.anchors(L("<a href=/x>1</a><a>2</a>"))) == ["/x"]
 
 
-VALUES = [None, True, 3, -2.5, "żółć \"q\"\n", [1, [2, None]], (1,), (1, 2), {None: 1, "k": [2]}, {1, 2}, dt.datetime(2001, 2, 3, 4, 5, 6), dt.date(1, 2, 3), dt.time(1, 2, 3), dast.Record("T", {"a": 1, "b": [2]}), Decimal("1.50"), b"xy", [], {}, ()]
+VALUES = [None, True, 3, -2.5, "żółć \"q\"\n", [1, [2, None]], (1,), (1, 2), {None: 1, "k": [2]}, {1, 2}, dt.datetime(2001, 2, 3, 4, 5, 6), dt.date(1, 2, 3), dt.time(1, 2, 3), notation.Record("T", {"a": 1, "b": [2]}), Decimal("1.50"), b"xy", [], {}, ()]
 
 
 @pytest.mark.parametrize("layout", [0, 1, 2])
-def test_dast_round_trip(layout):
+def test_notation_round_trip(layout):
     for v in VALUES:
-        assert dast.decode(dast.encode(v, layout)) == v, v
-    a = dast.decode(dast.encode(np.array([[1, 2], [3, 4]])))
+        assert notation.decode(notation.encode(v, layout)) == v, v
+    a = notation.decode(notation.encode(np.array([[1, 2], [3, 4]])))
     assert a.tolist() == [[1, 2], [3, 4]]
-    assert list(dast.load("\n".join(dast.encode(v, layout) for v in VALUES if v != ()))) == [v for v in VALUES if v != ()]
+    assert list(notation.load("\n".join(notation.encode(v, layout) for v in VALUES if v != ()))) == [v for v in VALUES if v != ()]
 
 
-def test_dast_reads_no_code(spark):
-    assert dast.decode("os.system(cmd=\"ls\")") == dast.Record("os.system", {"cmd": "ls"})
-    with pytest.raises(dast.DastSyntaxError):
-        dast.decode("[1, 2")
-    assert one(spark, dast.dast_decode(L("{\"a\": [1, ~]}")).cast("string")) == '{"a":[1,null]}'
+def test_notation_reads_no_code(spark):
+    assert notation.decode("os.system(cmd=\"ls\")") == notation.Record("os.system", {"cmd": "ls"})
+    with pytest.raises(notation.NotationError):
+        notation.decode("[1, 2")
+    assert one(spark, notation.notation_decode(L("{\"a\": [1, ~]}")).cast("string")) == '{"a":[1,null]}'
 
 
 def test_one_hot(spark):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import dast
+from lodestone.functions import notation
 from lodestone.sources import io
 from lodestone.streaming import windows
 
@@ -29,13 +29,13 @@ def test_json_objects_and_pages(spark, tmp_path):
     assert io.files(spark, str(tmp_path), "*.txt").count() == 3
 
 
-def test_dast_source(spark, tmp_path):
-    (tmp_path / "x.dast").write_text("\n".join(dast.encode(v) for v in ({"a": 1}, [1, None])))
-    rows = io.read_dast(spark, str(tmp_path)).orderBy("_pos").selectExpr("_pos", "to_json(value) AS j").collect()
+def test_notation_source(spark, tmp_path):
+    (tmp_path / "x.notation").write_text("\n".join(notation.encode(v) for v in ({"a": 1}, [1, None])))
+    rows = io.read_notation(spark, str(tmp_path)).orderBy("_pos").selectExpr("_pos", "to_json(value) AS j").collect()
     assert [r["j"] for r in rows] == ['{"a":1}', "[1,null]"]
-    io.write_dast(spark.range(2), str(tmp_path / "out"))
+    io.write_notation(spark.range(2), str(tmp_path / "out"))
     got = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect())
-    assert [dast.decode(x) for x in got] == [{"id": 0}, {"id": 1}]
+    assert [notation.decode(x) for x in got] == [{"id": 0}, {"id": 1}]
 
 
 def test_safe_rewrite(spark, tmp_path):
