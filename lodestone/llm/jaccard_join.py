@@ -36,7 +36,7 @@ from .cluster import docs_of, stored
 U64 = np.uint64
 N_WORDS = 3
 THRESHOLD = 0.6
-TOKENS = "id bigint, n int, g bigint, sc int, tokens binary"
+TOKENS = "id bigint, n int, s1 bigint, s2 bigint, g bigint, sc int, tokens binary"
 _MATRIX_CELLS = 8_000_000
 
 
@@ -107,7 +107,7 @@ def _grouped(n: int, t: float):
         for batch in batches:
             for b in textcore.pieces(batch, "text"):
                 tokens, off = _token_sets(b.column("text"), n)
-                sizes = np.diff(off)
+                sizes, s1, s2, _ = _keys(tokens, off)
                 has = sizes > 0
                 g = np.zeros(len(sizes), U64)
                 if has.any():
@@ -116,7 +116,7 @@ def _grouped(n: int, t: float):
                 with np.errstate(over="ignore"):
                     g = textcore.mix(g + sc.astype(U64))
                 blobs = [tokens[off[i] : off[i + 1]].tobytes() for i in range(len(sizes))]
-                out = pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column("doc_id"), np.int64)), pa.array(sizes.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(sc), pa.array(blobs, pa.binary())], ["id", "n", "g", "sc", "tokens"])
+                out = pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column("doc_id"), np.int64)), pa.array(sizes.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(g.view(np.int64)), pa.array(sc), pa.array(blobs, pa.binary())], ["id", "n", "s1", "s2", "g", "sc", "tokens"])
                 yield out.filter(pa.array(has))
 
     return run
@@ -213,7 +213,7 @@ def _verified(t: float):
                     a, b = np.nonzero((j >= t - 1e-12) & ((ids < mi[None, :]) if table is left else (ids != mi[None, :])))
                     out.append((np.minimum(qi[q0 + a], mi[b]), np.maximum(qi[q0 + a], mi[b]), j[a, b]))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("doc_id_a", "doc_id_b", "jaccard"), cols)))
+        return pa.table(dict(zip(("sid_a", "sid_b", "jaccard"), cols)))
 
     return run
 
@@ -227,23 +227,40 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS
     doc_id are separate queries, but a pair of a document with itself is not
     reported.  An empty table gives no pairs.
     """
+    lowest, members, edges = _set_join(docs, threshold, n)
+    copies = members.join(lowest, "sid").filter("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    a, b = (lowest.select(F.col("sid").alias(f"sid_{x}"), F.col("rep").alias(x)) for x in "ab")
+    return copies.unionByName(_by_id(edges.join(a, "sid_a").join(b, "sid_b")))
+
+
+def _by_id(pairs: DataFrame) -> DataFrame:
+    """Pairs of ids a and b, the lower first; two sets of one id are no pair."""
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "jaccard").distinct()
+
+
+def _set_join(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the token sets that can have a partner: sid and rep, the lowest id with that set; sid and id of all its documents; pairs of different sets by sid with their similarity."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     docs = docs_of(docs).filter("doc_id is not null")
     nb = shared_keys.buckets_for(docs)
     found = stored(shared_keys.sets_with_shared_keys(docs.mapInArrow(_texts_packed(n, nb), shared_keys.PACKED), threshold))
-    lowest = found.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    copies = found.join(lowest, ["s1", "s2", "n"]).filter("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
+    # a set's number is its place in this table, so it has to be written before it is used
+    lowest = stored(found.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")).withColumn("sid", F.monotonically_increasing_id()))
+    members = found.join(lowest, ["s1", "s2", "n"]).select("sid", "id").distinct()
     # the ids grow with the corpus, so they are never broadcast: the plan is the same at every size
     reps = docs.join(lowest.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = stored(reps.mapInArrow(_grouped(n, threshold), TOKENS))
-    near = shared_keys.sets_with_shared_keys(sets.mapInArrow(_sets_packed(nb), shared_keys.PACKED), threshold).select("id").distinct()
-    sets = stored(sets.join(near.hint("merge"), "id", "left_semi").dropDuplicates(["id", "g"]))
-    pairs = _pairs(sets, threshold).distinct()
-    return copies.unionByName(pairs)
+    # an id may have several texts: a row is known by its id and its set, and stays where it is the lowest with that set
+    key = ["id", "s1", "s2", "n"]
+    near = shared_keys.sets_with_shared_keys(sets.mapInArrow(_sets_packed(nb), shared_keys.PACKED), threshold).select(*key).distinct()
+    near = near.join(lowest.withColumnRenamed("rep", "id"), key)
+    sets = stored(sets.join(near.hint("merge"), key).dropDuplicates(key).select(F.col("sid").alias("id"), "n", "g", "sc", "tokens"))
+    return lowest.select("sid", "rep"), members, _pairs(sets, threshold)
 
 
 def _pairs(sets: DataFrame, t: float) -> DataFrame:
+    """sid_a, sid_b and similarity; ids of sets are unique and stand for one token set each."""
     matrix = sets.groupBy("g").applyInArrow(_union, "g bigint, sc int, tok bigint")
     in_groups = matrix.groupBy("tok").agg(F.count("*").alias("groups")).filter("groups > 1")
     matrix = stored(matrix.join(in_groups, "tok"))
@@ -254,7 +271,7 @@ def _pairs(sets: DataFrame, t: float) -> DataFrame:
     opened = queries.join(m, "tok").filter("g < g2 and abs(sc - sc2) <= 1").groupBy("id", "n", "g", "g2").agg(F.count("*").alias("met")).filter(F.col("met") >= needed)
     asked = opened.select("id", "g", "g2").join(sets.toDF(*sets.columns), ["id", "g"]).select("id", "n", F.col("g2").alias("g"), "sc", "tokens")
     asked = asked.toDF(*asked.columns)
-    return sets.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_verified(t), "doc_id_a bigint, doc_id_b bigint, jaccard double")
+    return sets.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_verified(t), "sid_a bigint, sid_b bigint, jaccard double")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -106,6 +106,23 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.jaccard_join(d.limit(0)).count() == 0 and jaccard_join.one_of_each_group(d.limit(0)).count() == 0
 
 
+def edited_under_one_id(families=6):
+    """Two texts T and U under one id; of two other texts one is near T only, the other near U only."""
+    rows, want = [], set()
+    for f in range(families):
+        w = [f"f{f}w{i}" for i in range(60)]
+        u = w[:50] + [f"u{x}" for x in w[50:]]
+        rows += [(3 * f, " ".join(x)) for x in (w, u)]
+        rows += [(3 * f + 1, " ".join([f"x{x}" for x in w[:8]] + w[8:])), (3 * f + 2, " ".join([f"y{x}" for x in w[:8]] + u[8:]))]
+        want |= {(3 * f, 3 * f + 1), (3 * f, 3 * f + 2)}
+    return rows, want
+
+
+def test_jaccard_join_of_two_texts_under_one_id(spark):
+    rows, want = edited_under_one_id()
+    assert set(pairs(jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS)))) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (101, 100), (7, 7), (None, 3)]
     got = {r["doc_id"]: r["group_id"] for r in jaccard_join.components(spark.createDataFrame(edges, "doc_id_a bigint, doc_id_b bigint")).collect()}
