@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 Every document is a query against every other.  Tokens are word n-grams; the
-result is exact: all pairs with Jaccard similarity of at least the threshold,
-where documents with the same token set are joined to the one of them with the
-lowest id, which stands for them in all other pairs.
+result is exact.  all_pairs() gives all pairs with Jaccard similarity of at least
+the threshold.  jaccard_join() gives a shorter list with the same connected
+components: documents with the same token set are joined to the one of them with
+the lowest id, which stands for them in all other pairs.
 
 1. *Whole-corpus bound.*  A document can only have a partner if its overlap with
    the union of all other documents reaches threshold x its size.  These
@@ -18,6 +19,7 @@ lowest id, which stands for them in all other pairs.
    compatible size, and the query's own, are opened.  Of two groups only the one
    with the lower key asks the other.
 6. Token sets of the members of opened groups are compared exactly.
+7. For all_pairs(), each representative is replaced by all documents with its set.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ N_WORDS = 3
 THRESHOLD = 0.6
 TOKENS = "id bigint, n int, s1 bigint, s2 bigint, g bigint, sc int, tokens binary"
 _MATRIX_CELLS = 8_000_000
+#: Documents with one token set that a task expands at a time.
+_COPIES = 1_000
 
 
 def _token_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,6 +237,29 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS
     return copies.unionByName(_by_id(edges.join(a, "sid_a").join(b, "sid_b")))
 
 
+def all_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
+    """All pairs doc_id_a < doc_id_b whose Jaccard similarity is at least the threshold, with it.
+
+    Rows, texts and ids are read as jaccard_join() reads them.  A group of k
+    documents with the same token set gives k(k-1)/2 pairs, and each of its
+    documents is paired with each document of a similar set.
+    """
+    lowest, members, edges = _set_join(docs, threshold, n)
+    members = stored(members)
+    sizes = members.groupBy("sid").agg(F.count("*").alias("k"))
+    within = sizes.filter("k > 1").select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), F.lit(1.0).alias("jaccard"))
+    pairs = _members_of(_members_of(edges.unionByName(within), members, sizes, "a", "sid_b"), members, sizes, "b", "a")
+    return _by_id(pairs.filter("sid_a <> sid_b or a < b"))
+
+
+def _members_of(pairs: DataFrame, members: DataFrame, sizes: DataFrame, side: str, by: str) -> DataFrame:
+    """Each row of pairs with each document of its set sid_<side>, as column <side>.  Where a set has many documents, the rows are spread over tasks by column `by`."""
+    sid = f"sid_{side}"
+    parts = sizes.select(F.col("sid").alias(sid), F.ceil(F.col("k") / _COPIES).cast("int").alias("parts"))
+    own = members.select(F.col("sid").alias(sid), F.col("id").alias(side)).join(parts, sid).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return pairs.join(parts, sid).withColumn("part", F.pmod(F.xxhash64(by), "parts").cast("int")).drop("parts").join(own, [sid, "part"]).drop("part")
+
+
 def _by_id(pairs: DataFrame) -> DataFrame:
     """Pairs of ids a and b, the lower first; two sets of one id are no pair."""
     return pairs.filter("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "jaccard").distinct()

@@ -9,7 +9,7 @@ from .boosted_pii import redact
 from .chat_format import format_chats
 from .decontaminate import contaminated
 from .html_content import extract
-from .jaccard_join import jaccard_join
+from .jaccard_join import all_pairs, jaccard_join
 from .pivotal_mix import copies
 from .quality_rules import apply_rules
 from .recurrent_lm import score
@@ -46,6 +46,21 @@ SELECT x, y, o / (na + nb - o)::DOUBLE FROM p WHERE o / (na + nb - o)::DOUBLE >=
 """
 
 
+@query
+def op1_ngram_jaccard_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op1_ngram_jaccard_all_pairs"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS toks FROM w WHERE len(ws) > 0),
+e AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT x AS doc_id_a, y AS doc_id_b, o / (na + nb - o)::DOUBLE AS jaccard FROM p WHERE o / (na + nb - o)::DOUBLE >= 0.6 - 1e-12
+"""
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -123,6 +123,40 @@ def test_jaccard_join_of_two_texts_under_one_id(spark):
     assert set(pairs(jaccard_join.jaccard_join(spark.createDataFrame(rows, DOCS)))) == want
 
 
+def brute_all_pairs(rows, t):
+    s = sets_of(rows)
+    return {(a, b): j for a, b in combinations(sorted(s), 2) if (j := len(s[a] & s[b]) / len(s[a] | s[b])) >= t}
+
+
+@pytest.mark.parametrize("copies", [1000, 2])
+def test_all_pairs_has_every_pair(spark, monkeypatch, copies):
+    monkeypatch.setattr(jaccard_join, "_COPIES", copies)
+    rows = corpus(1)
+    rows += [(1000 + 100 * k + i, rows[i][1]) for k in range(4) for i in range(0, 60, 7)]
+    got, want = pairs(jaccard_join.all_pairs(spark.createDataFrame(rows, DOCS))), brute_all_pairs(rows, 0.6)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert len(want) > len(brute_pairs(rows, 0.6))
+
+
+def test_all_pairs_of_two_texts_under_one_id(spark):
+    rows, want = edited_under_one_id()
+    assert set(pairs(jaccard_join.all_pairs(spark.createDataFrame(rows, DOCS)))) == want
+    d = spark.createDataFrame(rows, DOCS)
+    assert jaccard_join.all_pairs(d.limit(0)).count() == 0
+
+
+def test_all_pairs_match_their_sql(spark, sf):
+    import duckdb
+
+    from lodestone.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {(a, b): j for a, b, j in con.sql(queries.ORACLE_SQL["op1_ngram_jaccard_all_pairs"]).fetchall()}
+    got = pairs(queries.QUERIES["op1_ngram_jaccard_all_pairs"](spark, sf))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (101, 100), (7, 7), (None, 3)]
     got = {r["doc_id"]: r["group_id"] for r in jaccard_join.components(spark.createDataFrame(edges, "doc_id_a bigint, doc_id_b bigint")).collect()}
