@@ -6,10 +6,10 @@ probability is that of its class times that of the word in its class, so a step
 evaluates 64 + 64 outputs instead of 4,096.  Other words are one vocabulary entry,
 and are spelled by a byte model of the corpus (each byte given the one before).
 
-Word and byte counts come from all documents.  The network is trained on a fixed
-share of the documents, so training data grow with the corpus: in each round
-every task trains from the same weights on its own documents by backpropagation
-truncated to 32 steps, and the weights are averaged through a reduction tree.
+Word and byte counts come from all documents, and so does training: the rounds
+share out the documents, and each trains on its own.  In a round every task trains
+from the same weights on its documents of that round by backpropagation truncated
+to 32 steps, and the weights are averaged through a reduction tree.
 
 Scoring runs over whole documents, hundreds at a time in parallel lanes, in
 windows of 32 steps; a lane's state is carried from window to window, and reset
@@ -31,7 +31,7 @@ from .cluster import docs_of, partitions, stored
 
 U64 = np.uint64
 CLASSES, PER_CLASS, SIZE = 64, 64, 32
-ROUNDS, SHARE = 3, 0.03
+ROUNDS = 3
 WINDOW, LANES, TRAIN_LANES = 32, 512, 96
 END, OTHER = 0, 1
 FLUSH_WORDS = 4_000_000
@@ -299,16 +299,20 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
 
 
 def train_texts(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, rate: float = 0.01, lanes: int = TRAIN_LANES) -> tuple[dict[str, np.ndarray], float]:
-    """One pass over the texts, end to end in parallel lanes, with Adam; the weights after it and the mean loss."""
+    """One pass over the texts, end to end in parallel lanes, with Adam; the weights after it and the mean loss.
+
+    Lanes are equally long and hold every token; where their number doesn't divide the tokens', some begin with the last tokens of the one before.
+    """
     n = len(tokens)
-    lanes = max(1, min(lanes, n // WINDOW))
-    length = n // lanes
-    if not length:
+    if not n:
         return p, 0.0
+    lanes = max(1, min(lanes, n // WINDOW))
+    length = -(-n // lanes)
+    at = (np.arange(lanes) * (n - length) // max(1, lanes - 1))[:, None] + np.arange(length)
     source = np.empty(n, np.int64)
     source[1:] = tokens[:-1]
     source[first[:-1]] = START
-    cut = lambda x: np.ascontiguousarray(x[: lanes * length].reshape(lanes, length).T.astype(np.int64))
+    cut = lambda x: np.ascontiguousarray(x[at].T.astype(np.int64))
     source, target = cut(source), cut(tokens)
     p = {k: v.copy() for k, v in p.items()}
     one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -387,14 +391,20 @@ def _averaged(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "node": pa.array([table.column("up")[0].as_py()], pa.int64()), "weight": [float(w.sum())], "values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: float = SHARE, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights after all rounds; each takes another `share` of the documents, by a hash of doc_id and text."""
+def documents_of_round(docs: DataFrame, k: int, rounds: int) -> DataFrame:
+    """The documents that round k of 0 to rounds - 1 trains on, by a hash of doc_id and text; every document is in one round."""
+    return docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
+
+
+def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights after all rounds, which together train on every document.
+
+    A round without documents, as in small tables, leaves the weights as they
+    are; the initial ones are returned for an empty table only.
+    """
     p = initial(seed)
     for k in range(rounds):
-        at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-        lo = int(k * share * 1_000_000) % 1_000_000
-        some = docs.filter((at >= lo) & (at < lo + int(share * 1_000_000)))
-        rows = some.mapInArrow(_train_rows(p, v), WEIGHTS)
+        rows = documents_of_round(docs, k, rounds).mapInArrow(_train_rows(p, v), WEIGHTS)
         for up in (F.pmod(F.col("node"), F.lit(FAN_IN)), F.lit(0).cast("bigint")):
             rows = rows.withColumn("up", up).groupBy("block", "up").applyInArrow(_averaged, WEIGHTS)
         found = rows.orderBy("block").select("block", "values").collect()  # BLOCKS rows, one model
@@ -413,7 +423,7 @@ def _score_rows(p: dict[str, np.ndarray], v: Vocabulary):
     return run
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens (words and the end), log_likelihood of the whole text, and per_token; one row for each row of docs.
 
     docs: doc_id, text; other columns aren't used.  A null text is scored as an
@@ -422,5 +432,5 @@ def score(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFr
     """
     docs = docs_of(docs)
     v = vocabulary(docs)
-    p = trained(docs, v, rounds, share)
+    p = trained(docs, v, rounds)
     return docs.mapInArrow(_score_rows(p, v), "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")

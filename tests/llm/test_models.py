@@ -126,6 +126,27 @@ def test_lm_odd_rows(spark):
     assert recurrent_lm.score(d.limit(0)).count() == 0
 
 
+def test_training_passes_over_every_document(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"t{i}") for i in range(200)] + [(None, None), (7, None)], DOCS)
+    rounds = [recurrent_lm.documents_of_round(d, k, recurrent_lm.ROUNDS).count() for k in range(recurrent_lm.ROUNDS)]
+    assert sum(rounds) == 202 and min(rounds) > 0
+    # no token of a task is left out
+    seen = []
+    real = recurrent_lm.gradient
+    monkeypatch.setattr(recurrent_lm, "gradient", lambda p, h, s, y: (seen.append(y.reshape(-1)), real(p, h, s, y))[1])
+    for n in (1, 40, 1000, 3167):
+        seen.clear()
+        recurrent_lm.train_texts(recurrent_lm.initial(), np.arange(n).astype(np.int16), np.array([0, n]), lanes=7)
+        assert np.unique(np.concatenate(seen)).tolist() == list(range(n))
+
+
+@pytest.mark.parametrize("doc_id", [1, 2])
+def test_one_document_trains_the_network(spark, doc_id):
+    d = spark.createDataFrame([(doc_id, "red green blue " * 50)], DOCS)
+    p, q = recurrent_lm.trained(d, recurrent_lm.vocabulary(d)), recurrent_lm.initial()
+    assert any((p[k] != q[k]).any() for k in p)
+
+
 # ---- mixing
 
 
