@@ -424,7 +424,9 @@ def _score_rows(p: dict[str, np.ndarray], v: Vocabulary):
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_tokens (words and the end), log_likelihood of the whole text, and per_token; one row for each row of docs.
+    """doc_id, n_tokens (words and the end), log_likelihood of all its words and its end, and per_token; one row for each row of docs.
+
+    Only words, lower-cased in ASCII, are scored: a text of symbols scores like an empty one.
 
     docs: doc_id, text; other columns aren't used.  A null text is scored as an
     empty one: its end only.  Null and repeated doc_ids are scored row by row.
