@@ -19,9 +19,10 @@ Which suffixes can start a maximal repeat at all is found first:
    elsewhere, after different words, are suffixes of the array.  A suffix ends
    where an anchor that occurs once rules out a longer repeat.
    Parts with the same lowest text are built by one task, which gets the words of
-   each text once, however many of its suffixes are in them.
+   each text once, however many of its suffixes are in them; where they are very
+   large, as in families of copies, by several.
 4. *Interval tree.*  Each part is sorted, common prefixes of neighbours are
-   measured, and a stack scan visits the intervals of the tree.  An interval of
+   measured (runs of words are compared by hash, so no suffix is copied), and a stack scan visits the intervals of the tree.  An interval of
    length L or more with two different words (or a text's start) on the left is a
    maximal repeat, and its suffixes are all its occurrences.
 """
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,11 +204,18 @@ def _candidates(least: int, buckets: int):
     return run
 
 
-SUFFIXES = "doc_id bigint, lead bigint, part bigint, left int, start int, stop int"
+SUFFIXES = "doc_id bigint, lead bigint, shard int, part bigint, left int, start int, stop int"
+
+#: Words behind the suffixes of one part from which the parts of its lead are spread over several tasks.
+SHARD_WORDS = 1_000_000
 
 
 def _diverse(table: pa.Table) -> pa.Table:
-    """Candidates of one bucket whose words occur again after other words; lead: the lowest text that has them."""
+    """Candidates of one bucket whose words occur again after other words; lead: the lowest text that has them.
+
+    A part with very many words behind it goes to one of several shards of its
+    lead, so that a family of copies isn't built by one task.
+    """
     cols = {n: np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in CANDIDATES}
     order = np.lexsort((cols["start"], cols["doc"], cols["part"]))
     cols = {n: c[order] for n, c in cols.items()}
@@ -220,112 +229,205 @@ def _diverse(table: pa.Table) -> pa.Table:
         lo, hi = np.minimum.reduceat(left, begin), np.maximum.reduceat(left, begin)
         keep = np.repeat((n > 1) & ((lo != hi) | (lo == 0)), n)
         cols["lead"] = np.repeat(np.minimum.reduceat(cols["doc"], begin), n)
+        behind = np.add.reduceat((cols["stop"] - cols["start"]).astype(np.int64), begin)
+        cols["shard"] = np.repeat(((part[begin] >> U64(16)) % (1 + behind // SHARD_WORDS).astype(U64)).astype(np.int32), n)
         cols = {n: c[keep] for n, c in cols.items()}
     else:
-        cols["lead"] = cols["doc"]
-    return pa.table({"doc_id": cols["doc"], "lead": cols["lead"], "part": cols["part"].view(np.int64), "left": cols["left"].view(np.int32), "start": cols["start"].astype(np.int32), "stop": cols["stop"].astype(np.int32)})
+        cols["lead"], cols["shard"] = cols["doc"], cols["start"].astype(np.int32)
+    return pa.table({"doc_id": cols["doc"], "lead": cols["lead"], "shard": cols["shard"], "part": cols["part"].view(np.int64), "left": cols["left"].view(np.int32), "start": cols["start"].astype(np.int32), "stop": cols["stop"].astype(np.int32)})
 
 
-SEGMENTS = "lead bigint, doc_id bigint, first int, words binary, suffixes binary"
+SEGMENTS = "lead bigint, shard int, doc_id bigint, first int, words binary, suffixes binary"
 SUFFIX = np.dtype([("part", "<i8"), ("left", "<i4"), ("start", "<i4"), ("stop", "<i4")])
 
 
 def _segments(least: int):
-    """By text and lead: the words that its suffixes cover, once, and the suffixes."""
+    """By text, lead and shard: the words that its suffixes cover, once, and the suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in textcore.pieces(batch, "text"):
                 t = _Text(b.column("text"), least)
-                words = t.words.astype(">u8")
-                out = ([], [], [], [], [])
-                for i, (doc, packed) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("suffixes").to_pylist())):
-                    base, n = t.first[i], t.first[i + 1] - t.first[i]
-                    x = np.zeros(len(packed), SUFFIX)
-                    lead = np.fromiter((r["lead"] for r in packed), np.int64, len(packed))
-                    for k in SUFFIX.names:
-                        x[k] = [r[k] for r in packed]
-                    x["stop"] = np.minimum(x["stop"], n)
-                    # of rows that share a doc_id, a suffix belongs to those that have its words
-                    fits = x["start"] + least <= x["stop"]
-                    x, lead = x[fits], lead[fits]
-                    at = base + x["start"].astype(np.int64)
-                    own = t.gram(at, at + least).view(np.int64) == x["part"]
-                    x, lead = x[own], lead[own]
-                    for k in np.unique(lead).tolist():
-                        y = np.sort(x[lead == k], order=["part", "start"])
-                        lo, hi = int(y["start"].min()), int(y["stop"].max())
-                        for c, v in zip(out, (k, doc, lo, words[base + lo : base + hi].tobytes(), y.tobytes())):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["lead", "doc_id", "first", "words", "suffixes"])
+                lists = b.column("suffixes")
+                flat = lists.flatten()
+                field = lambda name: np.asarray(flat.field(name))  # noqa: E731, B023
+                who = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+                x = np.zeros(len(flat), SUFFIX)
+                for k in SUFFIX.names:
+                    x[k] = field(k)
+                lead, shard = field("lead"), field("shard")
+                base, n = t.first[:-1][who], np.diff(t.first)[who]
+                x["stop"] = np.minimum(x["stop"], n)
+                # of rows that share a doc_id, a suffix belongs to those that have its words
+                own = np.flatnonzero(x["start"].astype(np.int64) + least <= x["stop"])
+                at = base[own] + x["start"][own]
+                own = own[t.gram(at, at + least).view(np.int64) == x["part"][own]]
+                own = own[np.lexsort((x["start"][own], x["part"][own], shard[own], lead[own], who[own]))]
+                x, who, lead, shard = x[own], who[own], lead[own], shard[own]
+                fresh = np.ones(len(x), bool)
+                fresh[1:] = (who[1:] != who[:-1]) | (lead[1:] != lead[:-1]) | (shard[1:] != shard[:-1])
+                edge = np.append(np.flatnonzero(fresh), len(x))
+                first, ids = t.first.tolist(), b.column("doc_id").to_pylist()
+                out = ([], [], [], [], [], [])
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    lo, hi, d = int(x["start"][i:j].min()), int(x["stop"][i:j].max()), int(who[i])
+                    for c, v in zip(out, (int(lead[i]), int(shard[i]), ids[d], lo, t.words[first[d] + lo : first[d] + hi].tobytes(), x[i:j].tobytes())):
+                        c.append(v)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["lead", "shard", "doc_id", "first", "words", "suffixes"])
 
     return run
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two suffixes have in common at the start."""
-    n = min(len(a), len(b)) // 8
-    if a[: 8 * n] == b[: 8 * n]:
-        return n
-    x, y = np.frombuffer(a, ">u8", n), np.frombuffer(b, ">u8", n)
-    return int(np.argmax(x != y))
+class _Runs:
+    """Words in one array, and comparison of runs of them by hash."""
 
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.total = np.zeros(len(words) + 1, U64)
+        up, self.down = textcore._WORDS.get(len(words) + 1)
+        with np.errstate(over="ignore"):
+            np.cumsum(words * up[: len(words)], out=self.total[1:])
 
-def maximal_intervals(suffixes: list[tuple[bytes, int]], least: int) -> list[tuple[int, int, int]]:
+    def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.total[at + n] - self.total[at]) * self.down[at]
+
+    def common(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Words that the runs at a and at b have in common: at least `known`, at most `most`."""
+        lo, hi = known.copy(), most.copy()
+        while len(go := np.flatnonzero(lo < hi)):
+            mid = (lo[go] + hi[go] + 1) >> 1
+            same = self.hash(a[go], mid) == self.hash(b[go], mid)
+            lo[go[same]] = mid[same]
+            hi[go[~same]] = mid[~same] - 1
+        return lo
+
+
+def suffix_array(runs: _Runs, at: np.ndarray, end: np.ndarray, part: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at..end, part by part, and what each has in common with the one before (0 at a part's first).
+
+    All suffixes of a part start with the same `least` words.  They are sorted by
+    quicksort with longest common prefixes: each is compared with its group's
+    middle one; those with the same prefix in common, on the same side, are the
+    next groups.  No suffix is copied.
+    """
+    order = np.argsort(part, kind="stable")
+    n, far = len(order), np.int64(1) << 40
+    if not n:
+        return order, np.zeros(0, np.int64)
+    size = end - at
+    fresh = np.ones(n, bool)
+    fresh[1:] = part[order[1:]] != part[order[:-1]]
+    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    first_of_part = fresh.copy()
+    known = np.full(n, least, np.int64)
+    active = np.arange(n)
+    alone = fresh & np.append(fresh[1:], True)
+    active = active[~alone]
+    while len(active):
+        begin = group[active]
+        edge = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1]]))
+        many = np.diff(np.append(edge, len(active)))
+        i, p = order[active], np.repeat(order[active[edge + many // 2]], many)
+        a, b = at[i], at[p]
+        c = runs.common(a, b, known[active], np.minimum(size[i], size[p]))
+        over_i, over_p = c == size[i], c == size[p]
+        last = len(runs.words) - 1
+        less = over_i | (~over_p & (runs.words[np.minimum(a + c, last)] < runs.words[np.minimum(b + c, last)]))
+        side = np.where(over_i & over_p, far, np.where(less, c, 2 * far - c))
+        turn = np.lexsort((side, begin))
+        side, begin, c = side[turn], begin[turn], c[turn]
+        order[active] = i[turn]
+        known[active] = c
+        fresh = np.ones(len(active), bool)
+        fresh[1:] = (begin[1:] != begin[:-1]) | (side[1:] != side[:-1])
+        group[active] = active[np.maximum.accumulate(np.where(fresh, np.arange(len(active)), 0))]
+        done = (fresh & np.append(fresh[1:], True)) | (side == far)
+        active = active[~done]
+    lcp = np.zeros(n, np.int64)
+    j = np.flatnonzero(~first_of_part)
+    x, y = order[j - 1], order[j]
+    lcp[j] = runs.common(at[x], at[y], np.full(len(j), least, np.int64), np.minimum(size[x], size[y]))
+    return order, lcp
+
+
+def maximal_intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(length, first, last) of the intervals of sorted suffixes, with what is on their left, that are maximal repeats.
 
-    The `least` words that all have in common are left out of the suffixes.
-
+    lcp: what each suffix has in common with the one before.
     left: one number for each word, or 0 for the start of a text, which differs from everything.
     """
-    n = len(suffixes)
-    lcp = [0] + [least + _common(suffixes[i - 1][0], suffixes[i][0]) for i in range(1, n)] + [0]
+    n = len(lcp)
     change = np.zeros(n + 1, np.int64)  # differences of left from the row before, summed: an interval is diverse if any is inside it
-    left = np.array([x for _, x in suffixes], np.int64)
     if n > 1:
         change[1:n] = np.cumsum((left[1:] != left[:-1]) | (left[1:] == 0))
+    changes, heights = change.tolist(), [*lcp.tolist(), 0]
     out, stack = [], [(0, 0)]
     for i in range(1, n + 1):
-        begin = i - 1
-        while stack and stack[-1][0] > lcp[i]:
+        begin, height = i - 1, heights[i]
+        while stack and stack[-1][0] > height:
             length, begin = stack.pop()
-            if length >= least and change[i - 1] > change[begin]:
+            if length >= least and changes[i - 1] > changes[begin]:
                 out.append((length, begin, i - 1))
-        if not stack or stack[-1][0] < lcp[i]:
-            stack.append((lcp[i], begin))
+        if not stack or stack[-1][0] < height:
+            stack.append((height, begin))
     return out
 
 
-def _tree(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        docs, firsts, words = (table.column(c).to_pylist() for c in ("doc_id", "first", "words"))
-        packed = [np.frombuffer(x, SUFFIX) for x in table.column("suffixes").to_pylist()]
-        every = np.concatenate(packed) if packed else np.zeros(0, SUFFIX)
-        who = np.repeat(np.arange(len(packed)), [len(x) for x in packed])
-        order = np.argsort(every["part"], kind="stable")
-        every, who = every[order], who[order]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], every["part"][1:] != every["part"][:-1]])) if len(every) else np.zeros(0, np.int64), len(every))
-        ids, sizes, counts, doc_ids, starts = [], [], [], [], []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            part, rows = int(every["part"][a]), {}
-            for i, left, start, stop in zip(who[a:b].tolist(), every["left"][a:b].tolist(), every["start"][a:b].tolist(), every["stop"][a:b].tolist()):
-                f = firsts[i]
-                rows[docs[i], start] = (words[i][8 * (start - f + least) : 8 * (stop - f)], left)
-            if len(rows) < 2:
-                continue
-            at = sorted(rows, key=lambda p: (rows[p][0], p))
-            for n, x, y in maximal_intervals([rows[p] for p in at], least):
-                occ = sorted(at[x : y + 1])
-                ids.append((part, n))
-                sizes.append(n)
-                counts.append(len(occ))
-                doc_ids.append(np.array([d for d, _ in occ], np.int64))
-                starts.append(np.array([s for _, s in occ], np.int32))
-        key = np.array(ids, np.int64).reshape(-1, 2)
+REPEATS = "repeat_id bigint, n_words int, n_occurrences int, doc_ids array<bigint>, starts array<int>"
+SUFFIXES_AT_ONCE, OCCURRENCES_AT_ONCE = 200_000, 200_000
+
+
+def _occurrences(runs: _Runs, at: np.ndarray, doc: np.ndarray, start: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of REPEATS for intervals of sorted suffixes, a bounded number of occurrences in each batch."""
+    n = found[:, 2] - found[:, 1] + 1
+    total = np.concatenate([[0], np.cumsum(n)])
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + OCCURRENCES_AT_ONCE, side="right")) - 1)
+        k = n[lo:hi]
+        who = np.repeat(np.arange(hi - lo), k)
+        i = np.repeat(found[lo:hi, 1] - (total[lo:hi] - total[lo]), k) + np.arange(len(who))
+        i = i[np.lexsort((start[i], doc[i], who))]
+        edge = pa.array((total[lo : hi + 1] - total[lo]).astype(np.int32))
         with np.errstate(over="ignore"):
-            key = textcore.mix(key[:, 0].view(np.uint64) + key[:, 1].astype(U64)).view(np.int64) if len(ids) else np.zeros(0, np.int64)
-        lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(x) if x else [], k))
-        return pa.table({"repeat_id": key, "n_words": pa.array(sizes, pa.int32()), "n_occurrences": pa.array(counts, pa.int32()), "doc_ids": lists(doc_ids, pa.int64()), "starts": lists(starts, pa.int32())})
+            key = textcore.mix(runs.hash(at[found[lo:hi, 1]], found[lo:hi, 0]) + found[lo:hi, 0].astype(U64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(found[lo:hi, 0].astype(np.int32)), pa.array(k.astype(np.int32)), pa.ListArray.from_arrays(edge, pa.array(doc[i])), pa.ListArray.from_arrays(edge, pa.array(start[i]))],
+            ["repeat_id", "n_words", "n_occurrences", "doc_ids", "starts"],
+        )
+        lo = hi
+
+
+def _tree(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, firsts, words, packed = [], [], [], []
+        for b in batches:
+            docs += b.column("doc_id").to_pylist()
+            firsts += b.column("first").to_pylist()
+            words += [np.frombuffer(x.as_buffer(), U64) for x in b.column("words")]
+            packed += [np.frombuffer(x.as_buffer(), SUFFIX) for x in b.column("suffixes")]
+        base = np.cumsum([0] + [len(w) for w in words])[:-1]
+        n = [len(x) for x in packed]
+        runs, every = _Runs(np.concatenate(words)), np.concatenate(packed)
+        del words, packed
+        doc, base = np.repeat(np.array(docs, np.int64), n), np.repeat(base - np.array(firsts), n)
+        order = np.lexsort((every["start"], doc, every["part"]))
+        every, doc, base = every[order], doc[order], base[order]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = (every["part"][1:] != every["part"][:-1]) | (doc[1:] != doc[:-1]) | (every["start"][1:] != every["start"][:-1])
+        every, doc, base = every[fresh], doc[fresh], base[fresh]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], every["part"][1:] != every["part"][:-1]])), len(every))
+        i = 0
+        while i < len(edge) - 1:
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + SUFFIXES_AT_ONCE, side="right")) - 1)
+            x, d, at = every[edge[i] : edge[j]], doc[edge[i] : edge[j]], base[edge[i] : edge[j]]
+            end, at = at + x["stop"], at + x["start"]
+            sa, lcp = suffix_array(runs, at, end, x["part"], least)
+            found = np.array(maximal_intervals(lcp, x["left"][sa], least), np.int64).reshape(-1, 3)
+            yield from _occurrences(runs, at[sa], d[sa], x["start"][sa], found)
+            i = j
 
     return run
 
@@ -350,7 +452,6 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     some = stored(docs.join(by_doc.hint("merge"), "doc_id"))
     packed = some.mapInArrow(_candidates(min_words, nb), "bucket int, " + ", ".join(f"{n} binary" for n, _ in CANDIDATES))
     suffixes = packed.groupBy("bucket").applyInArrow(_diverse, SUFFIXES)
-    by_doc = stored(suffixes.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "part", "left", "start", "stop")).alias("suffixes")))
+    by_doc = stored(suffixes.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "shard", "part", "left", "start", "stop")).alias("suffixes")))
     segments = some.select("doc_id", "text").join(by_doc.hint("merge"), "doc_id").mapInArrow(_segments(min_words), SEGMENTS)
-    found = segments.groupBy("lead").applyInArrow(_tree(min_words), "repeat_id bigint, n_words int, n_occurrences int, doc_ids array<bigint>, starts array<int>")
-    return found.filter("n_occurrences > 1")
+    return segments.groupBy("lead", "shard").applyInArrow(_tree(min_words), REPEATS)

@@ -254,3 +254,42 @@ def test_maximal_repeats_odd_rows(spark):
     d = spark.createDataFrame(rows, DOCS).withColumn("part", F.lit(1)).withColumn("lead", F.lit(1))
     assert found_repeats(suffix_repeats.maximal_repeats(d)) == {(60, ((1, 0), (2, 1), (5, 0)))}
     assert suffix_repeats.maximal_repeats(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_words,at_once", [(1_000_000, 200_000), (200, 7)])
+def test_maximal_repeats_of_a_family(spark, monkeypatch, shard_words, at_once):
+    monkeypatch.setattr(suffix_repeats, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(suffix_repeats, "SUFFIXES_AT_ONCE", at_once)
+    monkeypatch.setattr(suffix_repeats, "OCCURRENCES_AT_ONCE", at_once)
+    r = np.random.default_rng(9)
+    text = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(80):
+        w = list(text)
+        for _ in range(int(r.integers(0, 3))):
+            w[int(r.integers(len(w)))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    assert found_repeats(suffix_repeats.maximal_repeats(spark.createDataFrame(rows, DOCS), 10)) == brute_repeats(rows, 10)
+
+
+def test_repeats_of_a_large_family_take_little_memory():
+    """One part of 5,000 copies of a text of 600 words, each with a change of its own: no suffix is copied."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    copies, n, least = 5000, 600, 50
+    text = r.integers(0, 1 << 60, n).astype(np.uint64)
+    seg = {k: [] for k in ("lead", "shard", "doc_id", "first", "words", "suffixes")}
+    for i in range(copies):
+        w = text.copy()
+        w[int(r.integers(60, n))] = i
+        x = np.array([(7, 0, 0, n)], suffix_repeats.SUFFIX)
+        for k, v in zip(seg, (0, 0, i, 0, w.tobytes(), x.tobytes())):
+            seg[k].append(v)
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in seg.items()})
+    textcore._WORDS.get(copies * n + 1)
+    tracemalloc.start()
+    counted = sum(b.num_rows for b in suffix_repeats._tree(least)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted >= 500 and most < 6 * copies * n * 8
