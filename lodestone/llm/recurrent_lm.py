@@ -1,15 +1,17 @@
 """Language-model scoring with a gated recurrent unit, in numpy.
 
 Tokens are the words of a document and its end.  The vocabulary is the corpus's
-most frequent words; they are put in classes by frequency, and a word's
-probability is that of its class times that of the word in its class, so a step
-evaluates 64 + 64 outputs instead of 4,096.  Other words are one vocabulary entry,
-and are spelled by a byte model of the corpus (each byte given the one before).
+most frequent words; they are put in 64 classes by frequency, frequent words in
+small ones, and a word's probability is that of its class times that of the word
+in its class, so a step evaluates a few dozen outputs instead of 4,096.  Other
+words are one vocabulary entry, and are spelled by a byte model of the corpus
+(each byte given the one before).
 
 Word and byte counts come from all documents, and so does training: the rounds
 share out the documents, and each trains on its own.  In a round every task trains
 from the same weights on its documents of that round by backpropagation truncated
-to 32 steps, and the weights are averaged through a reduction tree.
+to 32 steps, and the weights are averaged through a reduction tree.  Texts are
+turned into tokens once, into a table that all rounds and the scoring read.
 
 Scoring runs over whole documents, hundreds at a time in parallel lanes, in
 windows of 32 steps; a lane's state is carried from window to window, and reset
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +33,10 @@ from . import shape, textcore
 from .cluster import docs_of, partitions, stored
 
 U64 = np.uint64
-CLASSES, PER_CLASS, SIZE = 64, 64, 32
+CLASSES, WORDS, SIZE = 64, 4096, 32
 ROUNDS = 3
-WINDOW, LANES, TRAIN_LANES = 32, 512, 96
+WINDOW, LANES = 32, 512
+TRAIN_LANES, LANES_LEAST, UPDATES = 512, 16, 64
 END, OTHER = 0, 1
 FLUSH_WORDS = 4_000_000
 F32 = np.float32
@@ -46,13 +50,13 @@ def _count_rows(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
-        pairs = np.zeros(257 * 257, np.int64)
+        pairs = np.zeros(257 * 257)
 
         def rows(bucket, a, b):
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["bucket", "h", "n"])
 
         def flush():
-            h, c = np.unique(np.concatenate(kept), return_counts=True)
+            h, c = _added(np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept]))
             b = (h % U64(buckets)).astype(np.uint16)
             order = np.argsort(b, kind="stable")
             edge = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -63,28 +67,42 @@ def _count_rows(buckets: int):
         for batch in batches:
             for b in textcore.pieces(batch, "text"):
                 w, h = shape.ascii_words(b.column("text"))
-                kept.append(h)
+                if not len(h):
+                    continue
+                h, at, c = np.unique(h, return_index=True, return_counts=True)
+                kept.append((h, c))
                 n += len(h)
-                pairs += np.bincount(_pairs(w)[0], minlength=257 * 257)
+                pair, first = _pairs(w, at)
+                pairs += np.bincount(pair, weights=np.repeat(c, np.diff(np.append(first, len(pair)))), minlength=257 * 257)
                 if n >= FLUSH_WORDS:
                     yield flush()
                     kept, n = [], 0
         if n:
             yield flush()
         if len(some := np.flatnonzero(pairs)):
-            yield rows([-1 - int(x) for x in some // 257], [np.array([x], np.int64).tobytes() for x in some], [np.array([pairs[x]], np.int64).tobytes() for x in some])
+            yield rows([-1 - int(x) for x in some // 257], [np.array([x], np.int64).tobytes() for x in some], [np.array([pairs[x]]).astype(np.int64).tobytes() for x in some])
 
     return run
 
 
-def _pairs(w: textcore.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Byte pairs of all words, each with its beginning and end (both 256), and the first pair of each word."""
-    buf = shape.LOWER[w.buf]
-    n = w.end - w.start
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of n for each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begin], np.add.reduceat(n[order].astype(np.int64), begin)
+
+
+def _pairs(w: textcore.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte pairs of the words `which`, each with its beginning and end (both 256), and the first pair of each word."""
+    if not len(which):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    buf, start = shape.LOWER[w.buf], w.start[which]
+    n = w.end[which] - start
     first = np.cumsum(n + 1) - (n + 1)
     total = int((n + 1).sum())
     cur = np.full(total, 256, np.int64)
-    at = np.repeat(w.start - first, n + 1) + np.arange(total)
+    at = np.repeat(start - first, n + 1) + np.arange(total)
     last = first + n
     inside = np.ones(total, bool)
     inside[last] = False
@@ -103,19 +121,27 @@ def _most_frequent(limit: int):
             return pa.table({"kind": np.full(len(u), 1, np.int32), "key": u, "n": np.bincount(inverse, weights=n).astype(np.int64)})
         h = np.frombuffer(b"".join(table.column("h").to_pylist()), U64)
         n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)
-        u, inverse = np.unique(h, return_inverse=True)
-        c = np.bincount(inverse, weights=n).astype(np.int64)
+        u, c = _added(h, n)
         top = np.lexsort((u, -c))[:limit]
         return pa.table({"kind": np.zeros(len(top), np.int32), "key": u[top].view(np.int64), "n": c[top]})
 
     return run
 
 
+def class_edges(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """First word of each class, and the end: END and OTHER are classes of their own, other words share classes by the square root of their counts."""
+    total = np.cumsum(np.sqrt(counts.astype(np.float64)))
+    if not len(total):
+        return np.array([0, 1, 2])
+    k = np.minimum((total - np.sqrt(counts) / 2) / total[-1] * (classes - 2), classes - 3).astype(np.int64)
+    return np.concatenate([[0, 1], 2 + np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), [2 + len(counts)]])
+
+
 class Vocabulary:
-    """Ids of words by hash, and the spelling model."""
+    """Ids of words by hash, the classes of the ids, and the spelling model."""
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, spelling: np.ndarray):
-        self.hashes, self.ids, self.spelling = hashes, ids, spelling
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, spelling: np.ndarray, edges: np.ndarray):
+        self.hashes, self.ids, self.spelling, self.edges = hashes, ids, spelling, edges
 
     def tokens(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids (each text's words, then END), the first token of each text, and log-probability of each text's spelled words."""
@@ -125,71 +151,96 @@ class Vocabulary:
             ids = np.where(self.hashes[at] == h, self.ids[at], OTHER)
         else:
             ids = np.full(len(h), OTHER)
-        pair, first = _pairs(w)
-        by_word = np.add.reduceat(self.spelling[pair], first) if len(first) else np.zeros(0)
-        spelled = shape.sums(np.where(ids == OTHER, by_word, 0), w.first)
-        counts = w.counts
+        counts, spelled = w.counts, np.zeros(len(w.counts))
+        if len(rare := np.flatnonzero(ids == OTHER)):
+            pair, first = _pairs(w, rare)
+            spelled = np.bincount(w.docs()[rare], weights=np.add.reduceat(self.spelling[pair], first), minlength=len(counts))
         begin = w.first[:-1] + np.arange(len(counts))
         out = np.full(len(h) + len(counts), END, np.int16)
         out[np.arange(len(h)) + w.docs()] = ids
         return out, np.append(begin, len(out)), spelled
 
 
-def vocabulary(docs: DataFrame, size: int = CLASSES * PER_CLASS) -> Vocabulary:
+def vocabulary(docs: DataFrame, size: int = WORDS) -> Vocabulary:
     """The size - 2 most frequent words of all documents, classes in order of frequency, and byte-pair probabilities."""
     nb = min(65_535, partitions(docs.sparkSession))
     counted = stored(docs.mapInArrow(_count_rows(nb), "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(_most_frequent(size - 2), "kind int, key bigint, n bigint"))
     top = counted.filter("kind = 0").orderBy(F.desc("n"), "key").limit(size - 2).toPandas()  # at most 4,094 rows
     pairs = counted.filter("kind = 1").toPandas()  # at most 257 x 257 rows
-    h, ids = top.key.to_numpy(np.int64).view(U64), np.arange(len(top)) + 2
+    h, ids, edges = top.key.to_numpy(np.int64).view(U64), np.arange(len(top)) + 2, class_edges(top.n.to_numpy(np.int64))
     n = np.full((257, 257), 0.1)
     n.reshape(-1)[pairs.key.to_numpy(np.int64)] += pairs.n.to_numpy(np.float64)
     order = np.argsort(h)
-    return Vocabulary(h[order], ids[order], np.log(n / n.sum(axis=1, keepdims=True)).reshape(-1).astype(np.float64))
+    return Vocabulary(h[order], ids[order], np.log(n / n.sum(axis=1, keepdims=True)).reshape(-1).astype(np.float64), edges)
 
 
 # ---- the network
 
 
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights: emb (words), w/u/b (update gate, reset gate, candidate), cw/cb (classes), ow/ob (words of each class)."""
+def initial(edges: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights: e (what each word adds to update gate, reset gate and candidate), u (what the state adds), cw/cb (classes), ow/ob (words).
+
+    "edges" is the first word of each class, and the end of the last.
+    """
     r = np.random.default_rng(seed)
     g = lambda *s, by=None: (r.standard_normal(s) / np.sqrt(by or s[0])).astype(F32)
-    n = CLASSES * PER_CLASS
-    return {
-        "emb": g(n + 1, SIZE, by=SIZE), "w": g(SIZE, 3 * SIZE), "u": g(SIZE, 3 * SIZE), "b": np.zeros(3 * SIZE, F32),
-        "cw": g(SIZE, CLASSES), "cb": np.zeros(CLASSES, F32), "ow": g(CLASSES, SIZE, PER_CLASS, by=SIZE), "ob": np.zeros((CLASSES, PER_CLASS), F32),
-    }
+    return {"e": g(WORDS + 1, 3 * SIZE, by=8), "u": g(SIZE, 3 * SIZE), "cw": g(SIZE, CLASSES), "cb": np.zeros(CLASSES, F32), "ow": g(WORDS, SIZE, by=SIZE), "ob": np.zeros(WORDS, F32), "edges": edges}
+
 
+LEARNT = ("e", "u", "cw", "cb", "ow", "ob")
+START = WORDS
 
-START = CLASSES * PER_CLASS
 
+def _gate(x: np.ndarray) -> None:
+    """The logistic function in place: (1 + tanh(x / 2)) / 2."""
+    half = x.dtype.type(0.5)
+    x *= half
+    np.tanh(x, out=x)
+    x *= half
+    x += half
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
 
+def _bounded(w: np.ndarray, bias: np.ndarray, axis: int) -> bool:
+    """Whether no output can be so large that its exponential is out of range: states are between -1 and 1."""
+    return float((np.abs(w).sum(axis=axis) + np.abs(bias)).max()) < 60
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
 
+def _softmax(x: np.ndarray, target: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """In place: exponentials, their sums, and the log-probabilities of the targets."""
+    if not bounded:
+        x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return picked - np.log(total), total
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    c = target // PER_CLASS
-    order = np.argsort(c.astype(np.int8), kind="stable")
-    edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if edge[k] < edge[k + 1]:
-            yield k, order[edge[k] : edge[k + 1]]
+
+def _by_class(target: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each target, their order by class, and where each class begins in it."""
+    of_word = np.repeat(np.arange(len(edges) - 1, dtype=np.int8), np.diff(edges))
+    c = of_word[target]
+    return c.astype(np.int64), np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(edges) - 1))])
 
 
 def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target word given a state."""
-    out = _log_softmax(h @ p["cw"] + p["cb"])[np.arange(len(h)), target // PER_CLASS]
-    for k, rows in _by_class(target):
-        word = _log_softmax(h[rows] @ p["ow"][k] + p["ob"][k])
-        out[rows] += word[np.arange(len(rows)), target[rows] % PER_CLASS]
+    edges = p["edges"]
+    k, order, at = _by_class(target, edges)
+    n, small = len(edges) - 1, _bounded(p["ow"], p["ob"], 1)
+    logit = h @ p["cw"][:, :n]
+    logit += p["cb"][:n]
+    out, _ = _softmax(logit, k, _bounded(p["cw"], p["cb"], 0))
+    alone = at[np.argmax(np.append(np.diff(edges) > 1, True))]  # words of the first classes are alone in them
+    order = order[alone:]
+    hs, ys, words = np.take(h, order, axis=0), target[order], np.zeros(len(order), F32)
+    for k in range(n):
+        lo, hi = at[k] - alone, at[k + 1] - alone
+        if 0 <= lo < hi:
+            own, (a, b) = slice(lo, hi), edges[k : k + 2]
+            logit = hs[own] @ p["ow"][a:b].T
+            logit += p["ob"][a:b]
+            words[own], _ = _softmax(logit, ys[own] - a, small)
+    out[order] += words
     return out
 
 
@@ -208,97 +259,174 @@ def lanes_of(sizes: np.ndarray, lanes: int) -> list[np.ndarray]:
 
 
 def score_texts(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, lanes: int = LANES) -> np.ndarray:
-    """Log-probability of each text's tokens.  State is carried along a text and reset at the start of the next."""
+    """Log-probability of each text's tokens.  State is carried along a text and reset at the start of the next.
+
+    Lanes are runs of one array of tokens and are read window by window, so
+    memory follows the number of tokens, however long the longest text is.
+    """
     sizes = np.diff(first)
     if not len(sizes):
         return np.zeros(0)
     own = lanes_of(sizes, lanes)
     length = np.array([sizes[x].sum() for x in own])
-    steps, width = int(length[0]), len(own)
-    target = np.zeros((steps, width), np.int16)
-    doc = np.full((steps, width), -1, np.int32)
-    source = np.zeros((steps, width), np.int16)
-    for i, texts in enumerate(own):
-        at = np.repeat(first[texts] - (np.cumsum(sizes[texts]) - sizes[texts]), sizes[texts]) + np.arange(length[i])
-        target[: length[i], i] = tokens[at]
-        doc[: length[i], i] = np.repeat(texts, sizes[texts])
-        source[1 : length[i], i] = tokens[at[:-1]]
-        source[np.cumsum(sizes[texts]) - sizes[texts], i] = START
-    table = p["emb"] @ p["w"] + p["b"]
-    u, ready, total = p["u"], np.searchsorted(-length, -np.arange(steps), side="left"), np.zeros(len(sizes))
-    h = np.zeros((width, SIZE), F32)
+    texts = np.concatenate(own)
+    n = sizes[texts]
+    begin = np.cumsum(n) - n
+    target = tokens[np.repeat(first[texts] - begin, n) + np.arange(len(tokens))]
+    source = np.empty_like(target)
+    source[1:] = target[:-1]
+    source[begin] = START
+    doc = np.repeat(texts.astype(np.int32), n)
+    lane, steps = np.cumsum(length) - length, int(length[0])
+    ready = np.searchsorted(-length, -np.arange(steps), side="left")
+    table, u, total = p["e"], p["u"], np.zeros(len(sizes))
+    h, width = np.zeros((len(own), SIZE), F32), len(own)
+    xs, gs, cs, turned = (np.empty((width, k * SIZE), F32) for k in (3, 2, 1, 3))
+    states, places = np.empty((WINDOW * width, SIZE), F32), np.empty(WINDOW * width, np.int64)
     for t0 in range(0, steps, WINDOW):
-        t1 = min(t0 + WINDOW, steps)
-        states, targets, docs = [], [], []
-        for t in range(t0, t1):
+        n = 0
+        for t in range(t0, min(t0 + WINDOW, steps)):
             b = int(ready[t])
-            s, src = h[:b], source[t, :b]
+            at = np.add(lane[:b], t, out=places[n : n + b])
+            s, src, g, c = h[:b], source[at], gs[:b], cs[:b]
             s[src == START] = 0
-            x, a = table[src], s @ u
-            g = _sigmoid(x[:, : 2 * SIZE] + a[:, : 2 * SIZE])
-            c = np.tanh(x[:, 2 * SIZE :] + g[:, SIZE:] * a[:, 2 * SIZE :])
-            c += g[:, :SIZE] * (s - c)
-            h[:b] = c
-            states.append(c)
-            targets.append(target[t, :b])
-            docs.append(doc[t, :b])
-        lp = log_probabilities(p, np.concatenate(states), np.concatenate(targets).astype(np.int64))
-        total += np.bincount(np.concatenate(docs), weights=lp, minlength=len(sizes))
+            x, a = np.take(table, src, axis=0, out=xs[:b], mode="clip"), np.matmul(s, u, out=turned[:b])
+            np.add(x[:, : 2 * SIZE], a[:, : 2 * SIZE], out=g)
+            _gate(g)
+            np.multiply(g[:, SIZE:], a[:, 2 * SIZE :], out=c)
+            c += x[:, 2 * SIZE :]
+            np.tanh(c, out=c)
+            s -= c
+            s *= g[:, :SIZE]
+            s += c
+            states[n : n + b] = s
+            n += b
+        at = places[:n]
+        total += np.bincount(doc[at], weights=log_probabilities(p, states[:n], target[at].astype(np.int64)), minlength=len(sizes))
     return total
 
 
-def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """Mean loss over a window (steps x lanes), its gradient, and the state after it; backpropagation stops at the window's start."""
+class Room:
+    """Arrays that are used again for window after window."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self.kept or self.kept[name].size < n or self.kept[name].dtype != kind:
+            self.kept[name] = np.empty(n, kind)
+        return self.kept[name][:n].reshape(shape)
+
+
+def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Mean loss over a window (steps x lanes), its gradient, and the state after it; backpropagation stops at the window's start.
+
+    The gradient of e is given for the window's words only: rows, in "rows", and their values.
+    """
+    room = room or Room()
     steps, lanes = source.shape
-    d = SIZE
-    saved, states = [], []
+    d, n, kind = SIZE, steps * lanes, h.dtype
+    new = lambda name, *shape: room(name, shape, kind)
+    x = np.take(p["e"], source.reshape(-1), axis=0, out=new("x", n, 3 * d), mode="clip").reshape(steps, lanes, 3 * d)
+    keep = (source != START).astype(kind)[:, :, None]
+    before, after, z, r, c, ac = (new(k, steps, lanes, d) for k in ("before", "after", "z", "r", "c", "ac"))
+    gates, turned = new("gates", lanes, 2 * d), new("turned", lanes, 3 * d)
     for t in range(steps):
-        keep = (source[t] != START)[:, None].astype(F32)
-        s = h * keep
-        x = p["emb"][source[t]]
-        xa, a = x @ p["w"] + p["b"], s @ p["u"]
-        g = _sigmoid(xa[:, : 2 * d] + a[:, : 2 * d])
-        z, r = g[:, :d], g[:, d:]
-        c = np.tanh(xa[:, 2 * d :] + r * a[:, 2 * d :])
-        h = c + z * (s - c)
-        saved.append((keep, s, x, z, r, c, a[:, 2 * d :]))
-        states.append(h)
-    hs, y, n = np.concatenate(states), target.reshape(-1).astype(np.int64), steps * lanes
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    logc = _log_softmax(hs @ p["cw"] + p["cb"])
-    loss = -logc[np.arange(n), y // PER_CLASS].sum()
-    dc = np.exp(logc)
-    dc[np.arange(n), y // PER_CLASS] -= 1
-    dc /= n
-    g["cw"], g["cb"] = hs.T @ dc, dc.sum(axis=0)
-    dh_out = dc @ p["cw"].T
-    for k, rows in _by_class(y):
-        lw = _log_softmax(hs[rows] @ p["ow"][k] + p["ob"][k])
-        loss -= lw[np.arange(len(rows)), y[rows] % PER_CLASS].sum()
-        dw = np.exp(lw)
-        dw[np.arange(len(rows)), y[rows] % PER_CLASS] -= 1
-        dw /= n
-        g["ow"][k], g["ob"][k] = hs[rows].T @ dw, dw.sum(axis=0)
-        dh_out[rows] += dw @ p["ow"][k].T
+        s = np.multiply(h, keep[t], out=before[t])
+        a = np.matmul(s, p["u"], out=turned)
+        np.add(x[t, :, : 2 * d], a[:, : 2 * d], out=gates)
+        _gate(gates)
+        z[t], r[t], ac[t] = gates[:, :d], gates[:, d:], a[:, 2 * d :]
+        v = np.multiply(r[t], ac[t], out=c[t])
+        v += x[t, :, 2 * d :]
+        np.tanh(v, out=v)
+        h = np.subtract(s, v, out=after[t])
+        h *= z[t]
+        h += v
+    h = h.copy()
+    hs, y, every, g, edges = after.reshape(n, d), target.reshape(-1).astype(np.int64), np.arange(n), {}, p["edges"]
+    k, order, at = _by_class(y, edges)
+    many, small = len(edges) - 1, _bounded(p["ow"], p["ob"], 1)
+    dc = np.matmul(hs, p["cw"][:, :many], out=new("classes", n, many))
+    dc += p["cb"][:many]
+    lp, total = _softmax(dc, k, _bounded(p["cw"], p["cb"], 0))
+    loss = -float(lp.sum())
+    dc *= (1 / (total * n))[:, None].astype(kind)
+    dc[every, k] -= kind.type(1 / n)
+    g["cw"], g["cb"] = np.zeros_like(p["cw"]), np.zeros_like(p["cb"])
+    g["cw"][:, :many], g["cb"][:many] = hs.T @ dc, np.ones(n, kind) @ dc
+    dh_out = np.matmul(dc, p["cw"][:, :many].T, out=new("out", n, d))
+    alone = at[np.argmax(np.append(np.diff(edges) > 1, True))]
+    order = order[alone:]
+    hk, yk, back, ones = np.take(hs, order, axis=0, out=new("sorted", len(order), d), mode="clip"), y[order], new("back", len(order), d), np.ones(n, kind)
+    g["ow"], g["ob"] = np.zeros_like(p["ow"]), np.zeros_like(p["ob"])
+    for k in range(many):
+        lo, hi = at[k] - alone, at[k + 1] - alone
+        if 0 <= lo < hi:
+            own, (a, b) = slice(lo, hi), edges[k : k + 2]
+            dw = hk[own] @ p["ow"][a:b].T
+            dw += p["ob"][a:b]
+            lp, total = _softmax(dw, yk[own] - a, small)
+            loss -= float(lp.sum())
+            dw *= (1 / (total * n))[:, None].astype(kind)
+            dw[every[: len(dw)], yk[own] - a] -= kind.type(1 / n)
+            np.matmul(dw.T, hk[own], out=g["ow"][a:b])
+            g["ob"][a:b] = ones[: len(dw)] @ dw
+            np.matmul(dw, p["ow"][a:b], out=back[own])
+    dh_out[order] += back
     dh_out = dh_out.reshape(steps, lanes, d)
-    dh, dx = np.zeros((lanes, d), F32), np.zeros((steps, lanes, d), F32)
+    # what the state's error is multiplied by on its way to update gate, candidate and reset gate
+    by_z = np.subtract(before, c, out=new("by_z", steps, lanes, d))
+    by_c = np.subtract(1, z, out=new("by_c", steps, lanes, d))
+    by_z *= z
+    by_z *= by_c
+    c *= c
+    np.subtract(1, c, out=c)
+    by_c *= c
+    by_r = np.subtract(1, r, out=c)
+    by_r *= r
+    by_r *= ac
+    dx, da, dh, ut = x, new("da", steps, lanes, 3 * d), np.zeros((lanes, d), kind), np.ascontiguousarray(p["u"].T)
+    one, turned = new("one", lanes, d), new("turned", lanes, d)
     for t in range(steps - 1, -1, -1):
-        keep, s, x, z, r, c, ac = saved[t]
-        dh = dh + dh_out[t]
-        dz, dcand = dh * (s - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
-        dr = dcand * ac * r * (1 - r)
-        da = np.concatenate([dz, dr, dcand * r], axis=1)
-        dxa = np.concatenate([dz, dr, dcand], axis=1)
-        g["u"] += s.T @ da
-        g["w"] += x.T @ dxa
-        g["b"] += dxa.sum(axis=0)
-        dx[t] = dxa @ p["w"].T
-        dh = (dh * z + da @ p["u"].T) * keep
-    np.add.at(g["emb"], source.reshape(-1), dx.reshape(-1, d))
-    return float(loss / n), g, h
-
-
-def train_texts(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, rate: float = 0.01, lanes: int = TRAIN_LANES) -> tuple[dict[str, np.ndarray], float]:
+        dh += dh_out[t]
+        da[t, :, :d] = dx[t, :, :d] = np.multiply(dh, by_z[t], out=one)
+        dx[t, :, 2 * d :] = np.multiply(dh, by_c[t], out=one)
+        dh *= z[t]
+        np.multiply(one, r[t], out=da[t, :, 2 * d :])
+        one *= by_r[t]
+        da[t, :, d : 2 * d] = dx[t, :, d : 2 * d] = one
+        dh += np.matmul(da[t], ut, out=turned)
+        dh *= keep[t]
+    g["u"] = before.reshape(n, d).T @ da.reshape(n, 3 * d)
+    flat = source.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    dx = np.take(dx.reshape(n, 3 * d), order, axis=0, out=da.reshape(n, 3 * d), mode="clip")
+    g["rows"], g["e"] = flat[order[begin]], _sums(dx, begin)
+    return loss / n, g, h
+
+
+def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows from each begin on; long stretches by a product, which is faster than reduceat."""
+    size = np.diff(np.append(begin, len(x)))
+    out = np.add.reduceat(x[np.repeat(size < 24, size)], np.concatenate([[0], np.cumsum(size[size < 24])[:-1]]).astype(np.int64), axis=0) if (size < 24).any() else x[:0]
+    if (size < 24).all():
+        return out
+    every, ones = np.empty((len(begin), x.shape[1]), x.dtype), np.ones(int(size.max()), x.dtype)
+    every[size < 24] = out
+    for i in np.flatnonzero(size >= 24).tolist():
+        np.matmul(ones[: size[i]], x[begin[i] : begin[i] + size[i]], out=every[i])
+    return every
+
+
+def lanes_for(n: int) -> int:
+    """Lanes that n tokens are trained in: as many as leave UPDATES windows, between LANES_LEAST and TRAIN_LANES."""
+    return max(LANES_LEAST, min(TRAIN_LANES, n // (WINDOW * UPDATES)))
+
+
+def train_texts(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, rate: float = 0.01, lanes: int | None = None) -> tuple[dict[str, np.ndarray], float]:
     """One pass over the texts, end to end in parallel lanes, with Adam; the weights after it and the mean loss.
 
     Lanes are equally long and hold every token; where their number doesn't divide the tokens', some begin with the last tokens of the one before.
@@ -306,27 +434,43 @@ def train_texts(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray,
     n = len(tokens)
     if not n:
         return p, 0.0
-    lanes = max(1, min(lanes, n // WINDOW))
+    lanes = max(1, min(lanes or lanes_for(n), n // WINDOW))
     length = -(-n // lanes)
-    at = (np.arange(lanes) * (n - length) // max(1, lanes - 1))[:, None] + np.arange(length)
-    source = np.empty(n, np.int64)
+    at = (np.arange(lanes) * (n - length) // max(1, lanes - 1))[None, :] + np.arange(length)[:, None]
+    source = np.empty(n, np.int16)
     source[1:] = tokens[:-1]
     source[first[:-1]] = START
-    cut = lambda x: np.ascontiguousarray(x[at].T.astype(np.int64))
-    source, target = cut(source), cut(tokens)
+    source, target = source[at], tokens[at]
+    del at
     p = {k: v.copy() for k, v in p.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    h, losses = np.zeros((lanes, SIZE), F32), []
+    one, two = ({k: np.zeros_like(p[k]) for k in LEARNT} for _ in range(2))
+    h, losses, room = np.zeros((lanes, SIZE), F32), [], Room()
     for i, t in enumerate(range(0, length, WINDOW), 1):
-        loss, g, h = gradient(p, h, source[t : t + WINDOW], target[t : t + WINDOW])
+        loss, g, h = gradient(p, h, source[t : t + WINDOW], target[t : t + WINDOW], room)
         losses.append(loss)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        by = F32(min(1.0, 1.0 / (norm + 1e-6)))
-        for k in p:
-            gk = g[k] * by
-            one[k] += F32(0.1) * (gk - one[k])
-            two[k] += F32(0.01) * (gk * gk - two[k])
-            p[k] -= F32(rate / (1 - 0.9**i)) * one[k] / (np.sqrt(two[k] / F32(1 - 0.99**i)) + F32(1e-6))
+        rows = g.pop("rows")
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        by = min(1.0, 1.0 / (norm + 1e-6))
+        if by < 1:
+            for x in g.values():
+                x *= F32(by)
+        much, eps = F32(rate / (1 - 0.9**i) * np.sqrt(1 - 0.99**i)), F32(1e-6)
+        for k, gk in g.items():
+            own = rows if k == "e" else slice(None)  # moments of words that aren't in the window stay as they are
+            m, v = one[k][own], two[k][own]
+            # moments are kept 10 and 100 times as large, which saves two products
+            m *= F32(0.9)
+            m += gk
+            gk *= gk
+            v *= F32(0.99)
+            v += gk
+            if k == "e":
+                one[k][own], two[k][own] = m, v
+            np.sqrt(v, out=gk)
+            gk += eps
+            np.divide(m, gk, out=gk)
+            gk *= much
+            p[k][own] -= gk
     return p, float(np.mean(losses))
 
 
@@ -337,13 +481,12 @@ BLOCKS, FAN_IN = 16, 256
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k in sorted(p)])
+    return np.concatenate([p[k].reshape(-1) for k in LEARNT])
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    like = initial()
-    for k in sorted(like):
+def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {"edges": like["edges"]}, 0
+    for k in LEARNT:
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(F32)
         at += like[k].size
     return out
@@ -352,18 +495,34 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 WEIGHTS = "block int, node bigint, weight double, values binary"
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Tokens of consecutive texts, up to FLUSH_WORDS at a time, with their spelling and ids."""
+TOKENS = "doc_id bigint, tokens binary, spelled double"
+
+
+def _token_rows(v: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in textcore.pieces(batch, "text"):
+                tokens, first, spelled = v.tokens(b.column("text"))
+                packed = pa.Array.from_buffers(pa.binary(), len(spelled), [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(tokens.astype("<i2"))])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, pa.array(spelled)], ["doc_id", "tokens", "spelled"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Tokens of consecutive texts and the first of each, FLUSH_WORDS or a little more at a time, with their rows."""
     kept, n = [], 0
 
     def join():
-        size = np.concatenate([np.diff(f) for _, f, _, _ in kept])
-        return np.concatenate([t for t, *_ in kept]), np.concatenate([[0], np.cumsum(size)]), np.concatenate([s for _, _, s, _ in kept]), [i for *_, ids in kept for i in ids]
-
-    for batch in batches:
-        for b in textcore.pieces(batch, "text"):
-            kept.append((*v.tokens(b.column("text")), b.column("doc_id").to_pylist()))
-            n += len(kept[-1][0])
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        tokens = [np.frombuffer(x, np.int16) for b in kept for x in _values(b.column("tokens"))]
+        size = np.asarray(pc.binary_length(rows.column("tokens"))).astype(np.int64) // 2
+        return np.concatenate(tokens), np.concatenate([[0], np.cumsum(size)]), rows
+
+    for b in batches:
+        if b.num_rows:
+            kept.append(b)
+            n += sum(len(x) // 2 for x in _values(b.column("tokens")))
             if n >= FLUSH_WORDS:
                 yield join()
                 kept, n = [], 0
@@ -371,10 +530,17 @@ def _gathered(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tupl
         yield join()
 
 
-def _train_rows(p: dict[str, np.ndarray], v: Vocabulary):
+def _values(column: pa.Array) -> list[memoryview]:
+    """The bytes of all values of a binary column, one after the other."""
+    _, off, data = column.buffers()
+    edge = np.frombuffer(off, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[[column.offset, column.offset + len(column)]].tolist()
+    return [memoryview(data)[edge[0] : edge[1]]] if data is not None else []
+
+
+def _train_rows(p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = p, 0
-        for tokens, first, _, _ in _gathered(batches, v):
+        for tokens, first, _ in _gathered(batches):
             own, _ = train_texts(own, tokens, first)
             n += len(tokens)
         if n:
@@ -391,34 +557,34 @@ def _averaged(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "node": pa.array([table.column("up")[0].as_py()], pa.int64()), "weight": [float(w.sum())], "values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def documents_of_round(docs: DataFrame, k: int, rounds: int) -> DataFrame:
-    """The documents that round k of 0 to rounds - 1 trains on, by a hash of doc_id and text; every document is in one round."""
-    return docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
+def documents_of_round(tokens: DataFrame, k: int, rounds: int) -> DataFrame:
+    """The documents that round k of 0 to rounds - 1 trains on, by a hash of doc_id and tokens; every document is in one round."""
+    return tokens.filter(F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(rounds)) == k)
 
 
-def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights after all rounds, which together train on every document.
+def trained(tokens: DataFrame, edges: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights after all rounds, which together train on every document; tokens: rows of TOKENS.
 
     A round without documents, as in small tables, leaves the weights as they
     are; the initial ones are returned for an empty table only.
     """
-    p = initial(seed)
+    p = initial(edges, seed)
     for k in range(rounds):
-        rows = documents_of_round(docs, k, rounds).mapInArrow(_train_rows(p, v), WEIGHTS)
+        rows = documents_of_round(tokens, k, rounds).mapInArrow(_train_rows(p), WEIGHTS)
         for up in (F.pmod(F.col("node"), F.lit(FAN_IN)), F.lit(0).cast("bigint")):
             rows = rows.withColumn("up", up).groupBy("block", "up").applyInArrow(_averaged, WEIGHTS)
         found = rows.orderBy("block").select("block", "values").collect()  # BLOCKS rows, one model
         if found:
-            p = unpack(np.concatenate([np.frombuffer(r["values"], np.float32) for r in found]))
+            p = unpack(np.concatenate([np.frombuffer(r["values"], np.float32) for r in found]), p)
     return p
 
 
-def _score_rows(p: dict[str, np.ndarray], v: Vocabulary):
+def _score_rows(p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, first, spelled, ids in _gathered(batches, v):
-            total = score_texts(p, tokens, first) + spelled
+        for tokens, first, rows in _gathered(batches):
+            total = score_texts(p, tokens, first) + np.asarray(rows.column("spelled"))
             n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(total), pa.array(total / n)], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(n), pa.array(total), pa.array(total / n)], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
 
     return run
 
@@ -434,5 +600,5 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     docs = docs_of(docs)
     v = vocabulary(docs)
-    p = trained(docs, v, rounds)
-    return docs.mapInArrow(_score_rows(p, v), "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")
+    tokens = stored(docs.mapInArrow(_token_rows(v), TOKENS))
+    return tokens.mapInArrow(_score_rows(trained(tokens, v.edges, rounds)), "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")
