@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,17 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until none of the columns has it, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def docs_of(df: DataFrame, *more) -> DataFrame:
     """doc_id as bigint, text as string, and further names or Columns; other columns are left out."""
     need(df, "doc_id", "text", *(m for m in more if isinstance(m, str)))

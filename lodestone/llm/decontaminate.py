@@ -8,6 +8,12 @@ short item is found in a long document as surely as in a short one: an item of
 which a share t is contained meets the sketch in about b*t*q/n bins, which is set
 to at least -ln(miss).  Items that meet a sketch are candidates, and candidates
 are verified by comparing the k-grams themselves.
+
+There is one plan for every size of the benchmark.  A Bloom filter of the items'
+keys, of FILTER_BITS bits at most, goes to every task; where it lets a sketch
+through, the document's text goes on once with the keys let through.  These keys
+are joined with the items' keys, and each document is verified in one place.  A
+filter that is full lets more through, but changes no result.
 """
 
 from __future__ import annotations
@@ -21,17 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .cluster import docs_of, need, partitions, stored
+from .cluster import docs_of, free, need, partitions, stored
 
 U64 = np.uint64
 K_WORDS = 5
 THRESHOLD = 0.6
 MISS = 1e-3
-BROADCAST_BYTES = 16 << 20
+#: 64 bits a key give a false hit in ten million; 64 MB at most.
+BITS_A_KEY, PROBES, FILTER_BITS = 64, 7, 1 << 29
 _LOW = U64((1 << 44) - 1)
 
 
-def _item_keys(texts: list[str | None], ids: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _item_keys(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """44-bit keys of the items' shingles: key, index of the item, shingle width, size class of the item."""
     w = textcore.split_words(pa.array(texts, pa.large_string()))
     h, counts = w.hashes(), w.counts
@@ -81,86 +88,139 @@ def _item_grams(text: str, k: int) -> tuple[int, set[bytes]]:
 OUT = "doc_id bigint, item_id bigint, containment double"
 
 
-def _search_here(items: list[tuple[int, str]], k: int, t: float, miss: float):
-    """Sketch, look up and verify in one pass; items: all of them."""
-    ids, texts = [i for i, _ in items], [x for _, x in items]
+def _probes(key: np.ndarray, width: int, size_class: int, bits: int) -> Iterator[np.ndarray]:
+    """Bits of the filter for keys of one shingle width and size class; bits: a power of two."""
+    with np.errstate(over="ignore"):
+        x = textcore.mix(key.astype(U64) + (U64(width) << U64(56)) + (U64(size_class) << U64(48)))
+        step = textcore.mix(x) | U64(1)
+        for i in range(PROBES):
+            yield (x + U64(i) * step) & U64(bits - 1)
+
+
+class KeyFilter:
+    """A Bloom filter over (key, width, class)."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    def admits(self, key: np.ndarray, width: int, size_class: int) -> np.ndarray:
+        """Places of the keys that may be an item's."""
+        left = np.arange(len(key))
+        for i in range(PROBES):
+            if not len(left):
+                break
+            with np.errstate(over="ignore"):
+                if i == 0:
+                    x = textcore.mix(key.astype(U64) + (U64(width) << U64(56)) + (U64(size_class) << U64(48)))
+                    step = textcore.mix(x) | U64(1)
+                at = (x + U64(i) * step) & U64(self.bits - 1)
+            ok = (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+            left, x, step = left[ok], x[ok], step[ok]
+        return left
+
+
+_BLOCK = 1 << 15
+
+
+def _filter_rows(bits: int):
+    """Bits of each batch's keys, as blocks of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, who, widths, classes = _item_keys(texts, ids, k)
-        tables = {}
-        for width in np.unique(widths).tolist():
-            for c in np.unique(classes[widths == width]).tolist():
-                m = (widths == width) & (classes == c)
-                order = np.argsort(key[m], kind="stable")
-                tables[width, c] = key[m][order], who[m][order]
-        grams: dict[int, tuple[int, set[bytes]]] = {}
-        for batch in batches:
-            for b in textcore.pieces(batch, "text"):
-                w = textcore.split_words(b.column("text"))
-                h = w.hashes()
-                found = set()
-                for width in {x for x, _ in tables}:
-                    for c, doc, low in _sketches(w, h, width, [c for x, c in tables if x == width], t, miss):
-                        keys, owner = tables[width, c]
-                        left = np.searchsorted(keys, low)
-                        hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == low)
-                        right = np.searchsorted(keys, low[hit], side="right")
-                        for i, lo, hi in zip(doc[hit].tolist(), left[hit].tolist(), right.tolist()):
-                            found.update((i, o) for o in owner[lo:hi].tolist())
-                rows, seen = [], {}
-                for i, o in sorted(found):
-                    if o not in grams:
-                        grams[o] = _item_grams(texts[o], k)
-                    width, want = grams[o]
-                    if (i, width) not in seen:
-                        seen = {key: x for key, x in seen.items() if key[0] == i}
-                        seen[i, width] = _grams(b.column("text")[i].as_py(), width)
-                    share = len(want & seen[i, width]) / len(want)
-                    if share >= t - 1e-12:
-                        rows.append((b.column("doc_id")[i].as_py(), ids[o], share))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "item_id", "containment"])
+        for b in batches:
+            key, width, size = (np.asarray(b.column(c)) for c in ("key", "width", "class"))
+            at = []
+            for w, c in np.unique(np.stack([width, size]), axis=1).T.tolist() if len(key) else []:
+                own = key[(width == w) & (size == c)].view(U64)
+                at += list(_probes(own, w, c, bits))
+            at = np.unique(np.concatenate(at)) if at else np.zeros(0, U64)
+            block = (at // U64(_BLOCK)).astype(np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+            data = []
+            for x in np.split((at % U64(_BLOCK)).astype(np.int64), edge[1:]) if len(edge) else []:
+                one = np.zeros(_BLOCK, np.uint8)
+                one[x] = 1
+                data.append(np.packbits(one, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[edge]), pa.array(data, pa.binary())], ["block", "data"])
 
     return run
 
 
+def _either(table: pa.Table) -> pa.Table:
+    data = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("data")]
+    return pa.table({"block": table.column("block").slice(0, 1), "data": pa.array([np.bitwise_or.reduce(data).tobytes()], pa.binary())})
+
+
+def _key_filter(keys: DataFrame) -> KeyFilter:
+    """The filter of all keys; its bits come to the driver, FILTER_BITS / 8 bytes at most."""
+    n = max(1, keys.count())
+    bits = min(FILTER_BITS, max(_BLOCK, 1 << math.ceil(math.log2(BITS_A_KEY * n))))
+    rows = keys.mapInArrow(_filter_rows(bits), "block bigint, data binary").groupBy("block").applyInArrow(_either, "block bigint, data binary").collect()
+    data = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        data[r["block"] * _BLOCK // 8 : (r["block"] + 1) * _BLOCK // 8] = np.frombuffer(r["data"], np.uint8)
+    return KeyFilter(bits, data)
+
+
 def _item_rows(k: int):
     def run(batches):
         for b in batches:
-            ids = b.column("item_id").to_pylist()
-            key, who, widths, classes = _item_keys(b.column("item").to_pylist(), ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(widths.astype(np.int32)), pa.array(classes.astype(np.int32)), pa.array(np.asarray(ids, np.int64)[who] if len(who) else np.zeros(0, np.int64))], ["key", "width", "class", "item_id"])
+            key, who, widths, classes = _item_keys(b.column("item").to_pylist(), k)
+            ids = b.column("item_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(widths.astype(np.int32)), pa.array(classes.astype(np.int32)), pa.array(ids[who])], ["key", "width", "class", "item_id"])
 
     return run
 
 
-def _sketch_rows(kinds: list[tuple[int, int]], t: float, miss: float):
-    def run(batches):
+HIT = "doc_id bigint, text string, keys array<struct<key:bigint,width:int,class:int>>"
+
+
+def _hit_rows(kinds: list[tuple[int, int]], known, t: float, miss: float):
+    """Documents whose sketches the filter lets through, with the keys that it does; known: the filter, broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in textcore.pieces(batch, "text"):
                 w = textcore.split_words(b.column("text"))
-                h, ids = w.hashes(), b.column("doc_id").to_numpy(zero_copy_only=False)
-                for width in {x for x, _ in kinds}:
+                h, found = w.hashes(), []
+                for width in sorted({x for x, _ in kinds}):
                     for c, doc, low in _sketches(w, h, width, [c for x, c in kinds if x == width], t, miss):
-                        yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(np.full(len(low), width, np.int32)), pa.array(np.full(len(low), c, np.int32)), pa.array(ids[doc].astype(np.int64))], ["key", "width", "class", "doc_id"])
+                        i = known.value.admits(low, width, c)
+                        found.append((doc[i], low[i].view(np.int64), np.full(len(i), width, np.int32), np.full(len(i), c, np.int32)))
+                if not found or not sum(len(x[0]) for x in found):
+                    continue
+                doc, *rest = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(doc, kind="stable")
+                doc, rest = doc[order], [x[order] for x in rest]
+                edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                rows = b.take(pa.array(doc[edge]))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in rest], ["key", "width", "class"]))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), keys], ["doc_id", "text", "keys"])
 
     return run
 
 
 def _verify_rows(k: int, t: float):
+    """Each document against its candidates; its k-grams are made once for each width."""
+
     def run(batches):
         for b in batches:
-            rows = []
-            for i, o, text, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item"))):
-                width, want = _item_grams(item, k)
-                share = len(want & _grams(text, width)) / len(want)
-                if share >= t - 1e-12:
-                    rows.append((i, o, share))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "item_id", "containment"])
+            for at in range(b.num_rows):
+                rows, seen = [], {}
+                i, text, items = b.column("doc_id")[at].as_py(), b.column("text")[at].as_py(), b.column("items")[at].as_py()
+                for o, item in ((x["item_id"], x["item"]) for x in items):
+                    width, want = _item_grams(item, k)
+                    if width not in seen:
+                        seen[width] = _grams(text, width)
+                    share = len(want & seen[width]) / len(want)
+                    if share >= t - 1e-12:
+                        rows.append((i, o, share))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "containment"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = K_WORDS, miss: float = MISS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = K_WORDS, miss: float = MISS) -> DataFrame:
     """Pairs (doc_id, item_id, containment): at least `threshold` of the item's k-grams are in the document.
 
     docs: doc_id, text.  benchmark: item_id, text.  Other columns aren't used.
@@ -168,30 +228,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     text, that is null or has no words is in no pair, nor is a row whose id is
     null.  Rows that share an id give a pair each, of which the highest
     containment is returned.  An item is missed with a probability of at most
-    `miss`; what is returned is exact.  Items of up to `broadcast_bytes` of text
-    go to every task; more of them meet the sketches in a join.
+    `miss`; what is returned is exact.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     need(benchmark, "item_id", "text")
+    spark = docs.sparkSession
     docs = docs_of(docs).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("item")).filter("item_id is not null and item is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("item") + 16), F.lit(0)).alias("n")).first()["n"]
-    best = lambda df: df.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
-    if 4 * size <= broadcast_bytes:
-        rows = [(r["item_id"], r["item"]) for r in items.collect()]
-        return best(docs.mapInArrow(_search_here(rows, k, threshold, miss), OUT))
-    keys = stored(items.repartition(partitions(docs.sparkSession)).mapInArrow(_item_rows(k), "key bigint, width int, class int, item_id bigint"))
-    kinds = [(r["width"], r["class"]) for r in keys.select("width", "class").distinct().collect()]  # a few dozen at most
-    sketches = docs.mapInArrow(_sketch_rows(kinds, threshold, miss), "key bigint, width int, class int, doc_id bigint")
-    pairs = sketches.join(keys, ["key", "width", "class"]).select("doc_id", "item_id").distinct()
-    return best(pairs.join(docs, "doc_id").join(items, "item_id").mapInArrow(_verify_rows(k, threshold), OUT))
+    # rows of one id are items of their own
+    items = stored(items.withColumn("item_no", F.monotonically_increasing_id()))
+    keys = stored(items.select(F.col("item_no").alias("item_id"), "item").repartition(partitions(spark)).mapInArrow(_item_rows(k), "key bigint, width int, class int, item_id bigint"))
+    kinds = [(r["width"], r["class"]) for r in keys.select("width", "class").distinct().collect()]  # k times the logarithm of an item's size at most
+    known = spark.sparkContext.broadcast(_key_filter(keys))
+    hits = stored(docs.mapInArrow(_hit_rows(kinds, known, threshold, miss), HIT).withColumn("row", F.monotonically_increasing_id()))
+    asked = hits.select("row", F.explode("keys").alias("x")).select("row", "x.*")
+    pairs = asked.join(keys.withColumnRenamed("item_id", "item_no"), ["key", "width", "class"]).select("row", "item_no").distinct()
+    pairs = pairs.join(items, "item_no").groupBy("row").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    found = hits.select("row", "doc_id", "text").join(pairs, "row").select("doc_id", "text", "items").mapInArrow(_verify_rows(k, threshold), OUT)
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = K_WORDS) -> DataFrame:
     """docs without those that contain an item of the benchmark; all columns stay, rows with a null doc_id too."""
-    bad = contaminated(docs, benchmark, threshold, k).select(F.col("doc_id").alias("__contaminated")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("__contaminated"), "left_anti")
+    (bad,) = free(docs.columns, "contaminated")
+    found = contaminated(docs, benchmark, threshold, k).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(found, F.col("doc_id").cast("bigint") == F.col(bad), "left_anti")
 
 
 __all__ = ["contaminated", "without_benchmark"]
