@@ -1,10 +1,9 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 Every document is a query against every other.  Tokens are word n-grams; the
-result is exact.  all_pairs() gives all pairs with Jaccard similarity of at least
-the threshold.  jaccard_join() gives a shorter list with the same connected
-components: documents with the same token set are joined to the one of them with
-the lowest id, which stands for them in all other pairs.
+result is exact: all pairs with Jaccard similarity of at least the threshold.
+group_edges() gives a shorter list with the same connected components, for those
+who only want the groups.
 
 1. *Whole-corpus bound.*  A document can only have a partner if its overlap with
    the union of all other documents reaches threshold x its size.  These
@@ -19,7 +18,7 @@ the lowest id, which stands for them in all other pairs.
    compatible size, and the query's own, are opened.  Of two groups only the one
    with the lower key asks the other.
 6. Token sets of the members of opened groups are compared exactly.
-7. For all_pairs(), each representative is replaced by all documents with its set.
+7. Each representative is replaced by all documents with its set.
 """
 
 from __future__ import annotations
@@ -29,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared_keys, textcore
-from .cluster import docs_of, stored
+from .cluster import docs_of, free, stored
 
 U64 = np.uint64
 N_WORDS = 3
@@ -42,6 +41,8 @@ TOKENS = "id bigint, n int, s1 bigint, s2 bigint, g bigint, sc int, tokens binar
 _MATRIX_CELLS = 8_000_000
 #: Documents with one token set that a task expands at a time.
 _COPIES = 1_000
+#: Tokens of a group's members, or of these and the queries that open it, from which it is cut into blocks.
+GROUP_TOKENS = 4_000_000
 
 
 def _token_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,11 +205,12 @@ def _overlaps(qt, qo, mt, mo) -> Iterator[tuple[int, np.ndarray]]:
 
 def _verified(t: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: members of a group; right: queries from other groups that open it."""
+        """left: members of a group, or block a of it; right: members of block b, and queries from other groups that open it."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows:
             mi, mo, mt = _sets(left)
-            for table in [left] * (left.num_rows > 1) + [right] * (right.num_rows > 0):
+            own = left.num_rows > 1 and left.column("a")[0].as_py() == left.column("b")[0].as_py()
+            for table in [left] * own + [right] * (right.num_rows > 0):
                 qi, qo, qt = _sets(table)
                 for q0, shared in _overlaps(qt, qo, mt, mo):
                     nq, nm = np.diff(qo)[q0 : q0 + len(shared)], np.diff(mo)
@@ -222,14 +224,12 @@ def _verified(t: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
-    """Pairs doc_id_a < doc_id_b with their Jaccard similarity, as the module describes.
+def group_edges(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
+    """Pairs doc_id_a < doc_id_b that have the connected components of jaccard_join(), but are fewer.
 
-    docs: doc_id and text; further columns, whatever their names, are not used.
-    A row with a null doc_id, or whose text is null or has no word, is in no pair.
-    A text of fewer than n words has one token, all its words.  Rows that share a
-    doc_id are separate queries, but a pair of a document with itself is not
-    reported.  An empty table gives no pairs.
+    Documents with the same token set are joined to the one of them with the
+    lowest id, which stands for them in all other pairs.  Rows, texts and ids are
+    read as jaccard_join() reads them.
     """
     lowest, members, edges = _set_join(docs, threshold, n)
     copies = members.join(lowest, "sid").filter("id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
@@ -237,12 +237,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS
     return copies.unionByName(_by_id(edges.join(a, "sid_a").join(b, "sid_b")))
 
 
-def all_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
     """All pairs doc_id_a < doc_id_b whose Jaccard similarity is at least the threshold, with it.
 
-    Rows, texts and ids are read as jaccard_join() reads them.  A group of k
-    documents with the same token set gives k(k-1)/2 pairs, and each of its
-    documents is paired with each document of a similar set.
+    A group of k documents with the same token set gives k(k-1)/2 pairs, and each
+    of its documents is paired with each document of a similar set.
+
+    docs: doc_id and text; further columns, whatever their names, are not used.
+    A row with a null doc_id, or whose text is null or has no word, is in no pair.
+    A text of fewer than n words has one token, all its words.  Rows that share a
+    doc_id are separate queries, but a pair of a document with itself is not
+    reported.  An empty table gives no pairs.
     """
     lowest, members, edges = _set_join(docs, threshold, n)
     members = stored(members)
@@ -286,19 +291,40 @@ def _set_join(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, Dat
     return lowest.select("sid", "rep"), members, _pairs(sets, threshold)
 
 
+def _large(sizes: DataFrame) -> DataFrame:
+    """g and blocks of the groups with more than GROUP_TOKENS tokens, from rows of g and n: one row in GROUP_TOKENS at most."""
+    return stored(sizes.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_TOKENS).cast("int").alias("blocks")).filter("blocks > 1"))
+
+
 def _pairs(sets: DataFrame, t: float) -> DataFrame:
-    """sid_a, sid_b and similarity; ids of sets are unique and stand for one token set each."""
-    matrix = sets.groupBy("g").applyInArrow(_union, "g bigint, sc int, tok bigint")
-    in_groups = matrix.groupBy("tok").agg(F.count("*").alias("groups")).filter("groups > 1")
-    matrix = stored(matrix.join(in_groups, "tok"))
-    queries = sets.groupBy("g").cogroup(matrix.groupBy("g")).applyInArrow(_looked_up(t), "id bigint, n int, g bigint, sc int, tok bigint")
+    """sid_a, sid_b and similarity; ids of sets are unique and stand for one token set each.
+
+    Members of a large group are cut into blocks, and blocks are compared by
+    pairs, so that no task has a whole large group.
+    """
+    block = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
+    count = F.coalesce(F.col("blocks"), F.lit(1))
+    every = F.explode(F.sequence(F.lit(0), count - 1))
+    large = _large(sets)
+    in_blocks = sets.join(large, "g", "left").withColumn("block", block(count)).drop("blocks")
+    # a token of several blocks counts once; counting groups and dropping repeats share one shuffle by token
+    matrix = in_blocks.groupBy("g", "block").applyInArrow(_union, "g bigint, sc int, tok bigint").repartition(F.col("tok")).dropDuplicates(["tok", "g", "sc"])
+    matrix = stored(matrix.withColumn("groups", F.count("*").over(Window.partitionBy("tok"))).filter("groups > 1"))
+    known = matrix.join(large, "g", "left").withColumn("block", every).drop("blocks")
+    queries = in_blocks.groupBy("g", "block").cogroup(known.groupBy("g", "block")).applyInArrow(_looked_up(t), "id bigint, n int, g bigint, sc int, tok bigint")
     m = matrix.select(F.col("tok"), F.col("g").alias("g2"), F.col("sc").alias("sc2"))
     alpha = F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9))
     needed = F.least(alpha - 1, F.floor(F.col("n") / 5)) + 1
     opened = queries.join(m, "tok").filter("g < g2 and abs(sc - sc2) <= 1").groupBy("id", "n", "g", "g2").agg(F.count("*").alias("met")).filter(F.col("met") >= needed)
+    opened = stored(opened.select("id", "n", "g", "g2"))
+    large = _large(sets.select("g", "n").unionByName(opened.select(F.col("g2").alias("g"), "n")))
     asked = opened.select("id", "g", "g2").join(sets.toDF(*sets.columns), ["id", "g"]).select("id", "n", F.col("g2").alias("g"), "sc", "tokens")
-    asked = asked.toDF(*asked.columns)
-    return sets.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_verified(t), "sid_a bigint, sid_b bigint, jaccard double")
+    cols = ["g", "a", "b", "id", "n", "sc", "tokens"]
+    members = sets.join(large, "g", "left").withColumn("a", block(count))
+    left = members.withColumn("b", every).select(cols)
+    others = sets.toDF(*sets.columns).join(large, "g").withColumn("b", block(count)).withColumn("a", every).filter("a < b").select(cols)
+    asking = asked.toDF(*asked.columns).join(large, "g", "left").withColumn("b", block(count)).withColumn("a", every).select(cols)
+    return left.groupBy("g", "a", "b").cogroup(others.unionByName(asking).groupBy("g", "a", "b")).applyInArrow(_verified(t), "sid_a bigint, sid_b bigint, jaccard double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -325,10 +351,10 @@ def components(edges: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
     """docs without those whose group of near copies holds a document with a lower id.
 
-    Groups are the connected components of jaccard_join().  All columns stay.
+    Groups are the connected components of jaccard_join()'s pairs.  All columns stay.
     Rows with a null doc_id, and texts without a word, are kept.  Of rows that
     share a doc_id all are kept or none.
     """
-    groups = components(jaccard_join(docs, threshold, n)).filter("doc_id <> group_id")
-    key = "__doc_id_of_group"
+    groups = components(group_edges(docs, threshold, n)).filter("doc_id <> group_id")
+    (key,) = free(docs.columns, "id_of_group")
     return docs.join(groups.select(F.col("doc_id").alias(key)).hint("merge"), F.col("doc_id").cast("bigint") == F.col(key), "left_anti")
