@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shape, textcore
-from .cluster import docs_of, need
+from .cluster import docs_of, need, stored
 
 LIMIT, DELTA = 0.03, 0.05
 #: name: (statistic, +1 to reject above the cut-off or -1 below, cut-offs from the one that rejects least)
@@ -60,13 +60,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in textcore.pieces(batch, "text"):
             s = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stratum"), *(pa.array(s[k]) for k in STATISTICS)], ["doc_id", "stratum", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("stratum"), b.column("copy_of"), *(pa.array(s[k]) for k in STATISTICS)], ["doc_id", "stratum", "copy_of", *STATISTICS])
 
 
 def described(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum ('' for a null) and the statistics of each row."""
-    d = docs_of(docs, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")) if stratum in docs.columns else docs_of(docs, F.lit("").alias("stratum"))
-    return d.mapInArrow(_rows, "doc_id bigint, stratum string, " + ", ".join(f"{k} double" for k in STATISTICS))
+    """doc_id, stratum ('' for a null), copy_of (a hash of the text, equal for equal texts) and the statistics of each row."""
+    one = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
+    d = docs_of(docs, one.alias("stratum")).withColumn("copy_of", F.xxhash64("text"))
+    return d.mapInArrow(_rows, "doc_id bigint, stratum string, copy_of bigint, " + ", ".join(f"{k} double" for k in STATISTICS))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -89,10 +90,15 @@ def _step(rule: str) -> F.Column:
 
 
 def cut_offs(described_docs: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """The cut-off of each (stratum, rule) for which a valid one is of use."""
+    """The cut-off of each (stratum, rule) for which a valid one is of use.
+
+    Equal texts of a stratum are one draw of the holdout, with the worst of their
+    labels: copies aren't independent of each other, as the binomial bound asks.
+    """
     need(labels, "doc_id", "quality")
     judged = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     held = described_docs.join(judged.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    held = held.groupBy("stratum", "copy_of").agg(F.min("quality").alias("quality"), *(F.first(k).alias(k) for k in STATISTICS))
     one = held.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _step(r).alias("step")) for r in RULES))).alias("x")).select("stratum", "quality", "x.rule", "x.step")
     counts: dict[tuple[str, str], tuple[dict[int, int], dict[int, int]]] = {}
     for r in one.groupBy("stratum", "rule", "quality", "step").count().collect():  # strata x rules x grid rows
@@ -133,9 +139,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit
     labels of a doc_id the worse counts.  A stratum with too few labels for any
     guarantee has no cut-off, and all of it is kept.
     """
-    d = described(docs, stratum)
+    # the texts are read once: cut-offs and result are made from their statistics
+    d = stored(described(docs, stratum))
     failed = _failed(cut_offs(d, labels, limit, delta))
-    return d.withColumn("failed", failed).withColumn("keep", F.col("failed") == "")
+    return d.drop("copy_of").withColumn("failed", failed).withColumn("keep", F.col("failed") == "")
 
 
 __all__ = ["apply_rules", "binomial_tail", "cut_offs", "described", "statistics"]
