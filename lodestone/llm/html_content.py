@@ -3,9 +3,15 @@
 The standard library's parser streams events.  Block-level tags, line breaks and
 newlines of the source end a line; for each line the characters of text and the
 tags are counted.  The ratios of characters to tags are smoothed over
-neighbouring lines with a Gaussian; lines whose smoothed ratio is above a
-threshold form the content regions.  The threshold is a share of the standard
-deviation of the page's smoothed ratios.
+neighbouring lines with a Gaussian.  A threshold, a share of the standard
+deviation of the page's smoothed ratios, parts the lines into content and the
+rest; runs of content lines, joined over gaps of up to GAP lines, are regions, and
+a region is selected if its own ratio, all its characters to all its tags, is
+above the threshold too.
+
+Contents of script, style, title, noscript, template and svg aren't text.  An
+element of the last four that is never closed hides nothing.  Tags that HTML lets
+authors leave out, such as </head> and <body>, aren't needed.
 """
 
 from __future__ import annotations
@@ -19,17 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textcore
 from .cluster import need
 
-SIGMA, SHARE = 1.0, 0.5
+SIGMA, SHARE, GAP = 1.0, 0.5, 1
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head script style noscript template svg title".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CODE = frozenset(("script", "style"))
+SKIPPED = CODE | frozenset("noscript template svg title".split())
 _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text pieces and tags."""
+    """Collects lines: text pieces and tags.
+
+    What is inside of a skipped element is collected too, and given up when the
+    element is closed, so an element without its end tag loses no text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -37,7 +48,7 @@ class _Lines(HTMLParser):
         self.tags: list[int] = []
         self.piece: list[str] = []
         self.n = 0
-        self.skip: list[str] = []
+        self.skip: list[tuple[str, int, list[str], int]] = []
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.piece)).strip() if self.piece else ""
@@ -46,53 +57,53 @@ class _Lines(HTMLParser):
             self.tags.append(self.n)
         self.piece, self.n = [], 0
 
+    def _give_up(self) -> str:
+        tag, lines, self.piece, self.n = self.skip.pop()
+        del self.texts[lines:], self.tags[lines:]
+        return tag
+
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag == self.skip[-1] and tag not in VOID:
-                self.skip.append(tag)
-            elif self.skip == ["head"] and tag == "body":
-                self.skip = []
-            return
-        if tag in SKIPPED:
-            self.skip.append(tag)
+        if tag == "body" and self.skip and self.skip[0][0] == "title":
+            self.skip = []  # a title is over where the body begins
         if tag not in INLINE:
             self.end_line()
         self.n += 1
+        if tag in SKIPPED:
+            self.skip.append((tag, len(self.texts), self.piece[:], self.n))
 
     def handle_startendtag(self, tag, attrs):
-        if not self.skip:
-            if tag not in INLINE:
-                self.end_line()
-            self.n += 1
+        if tag not in INLINE:
+            self.end_line()
+        self.n += 1
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-                if self.skip:
-                    return
-            else:
-                return
+        if any(tag == s[0] for s in self.skip):
+            while self._give_up() != tag:
+                pass
         self.n += 1
         if tag not in INLINE:
             self.end_line()
 
     def handle_data(self, data):
-        if self.skip:
-            return
         first, *rest = data.split("\n")
         self.piece.append(first)
         for line in rest:
             self.end_line()
             self.piece.append(line)
 
+    def over(self) -> None:
+        """The page's end: what is left open is text, but for code."""
+        while any(s[0] in CODE for s in self.skip):
+            self._give_up()
+        self.end_line()
+
 
 def lines_of(html: str) -> tuple[list[str], np.ndarray]:
     """The page's lines, and the tags in each."""
     p = _Lines()
     p.feed(html)
     p.close()
-    p.end_line()
+    p.over()
     return p.texts, np.array(p.tags, np.float64)
 
 
@@ -106,6 +117,19 @@ def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(x) / full(np.ones(len(x)))
 
 
+def regions(chars: np.ndarray, tags: np.ndarray, sigma: float = SIGMA, share: float = SHARE, gap: int = GAP) -> list[tuple[int, int]]:
+    """Content regions of a page's lines, as (first, end)."""
+    ratio = chars / np.maximum(tags, 1)
+    s = smoothed(ratio, sigma)
+    if not len(s) or s.max() <= 0:
+        return []
+    level = share * s.std()
+    over = np.flatnonzero(s >= level)
+    cut = np.flatnonzero(np.diff(over) > gap + 1)
+    runs = zip(over[np.append(0, cut + 1)].tolist(), (over[np.append(cut, len(over) - 1)] + 1).tolist())
+    return [(a, b) for a, b in runs if (n := chars[a:b].sum()) and n / max(1, tags[a:b].sum()) >= level]
+
+
 def content(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> tuple[str, int, int]:
     """The content text, its lines joined by newlines; the lines of the page, and those that are content."""
     if not html:
@@ -113,17 +137,14 @@ def content(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> tup
     texts, tags = lines_of(html)
     if not texts:
         return "", 0, 0
-    ratio = np.array([len(t) for t in texts]) / np.maximum(tags, 1)
-    s = smoothed(ratio, sigma)
-    chosen = [t for t, keep in zip(texts, s >= share * s.std()) if keep and t] if s.max() > 0 else []
+    chosen = [t for a, b in regions(np.array([len(t) for t in texts]), tags, sigma, share) for t in texts[a:b] if t]
     return "\n".join(chosen), len(texts), len(chosen)
 
 
 def _pages(sigma: float, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for b in textcore.pieces(batch, "html"):
                 rows = [content(x, sigma, share) for x in b.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["page_id", "url", "text", "n_lines", "n_content_lines"])
 
