@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .cluster import need, stored
+from .cluster import free, need, stored
 
 TEMPERATURE, BLOCK, FAN_IN = 0.5, 20_000, 16
 _EPS = 1e-9
@@ -129,7 +129,13 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, temperature
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
-    """docs with each row as often as copies() says; `copy` numbers them from 1."""
-    c = copies(docs, weights, temperature, seed=seed).filter("copies > 0").select(F.col("doc_id").alias("doc_id_"), F.col("source").alias("source_"), F.col("copies").alias("copies_"))
-    joined = docs.join(c, F.col("doc_id").cast("bigint").eqNullSafe(F.col("doc_id_")) & F.col("source").cast("string").eqNullSafe(F.col("source_")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies_")))).drop("doc_id_", "source_", "copies_")
+    """docs with each row as often as copies() says; `copy` numbers them from 1.
+
+    All columns of docs stay.  Where docs has a column `copy` already, the number
+    is in `_copy`, and so on.
+    """
+    (number,) = free(docs.columns, "copy")
+    i, s, n = free([*docs.columns, number], "unit_id", "unit_source", "unit_copies")
+    c = copies(docs, weights, temperature, seed=seed).filter("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copies").alias(n))
+    joined = docs.join(c, F.col("doc_id").cast("bigint").eqNullSafe(F.col(i)) & F.col("source").cast("string").eqNullSafe(F.col(s)))
+    return joined.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(i, s, n)
