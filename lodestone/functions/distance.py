@@ -149,6 +149,24 @@ class Fuzzy:
         """The most frequent character of each position, of equal ones the first in the charset."""
         return "".join(self.charset[k] if f[k] >= min_freq else unknown for f, k in zip(self.freq, self.freq.argmax(axis=1))) if len(self.freq) else ""
 
+    def append(self, other: Fuzzy) -> Fuzzy:
+        """Positions of both, one after the other."""
+        return Fuzzy(self.charset, np.concatenate([self.freq, other.freq]))
+
+    def convert(self, charset: str) -> Fuzzy:
+        """The same frequencies over another charset, which has all characters that occur."""
+        used = [i for i in range(len(self.charset)) if self.freq[:, i].any()]
+        freq = np.zeros((len(self.freq), len(charset)))
+        freq[:, [charset.index(self.charset[i]) for i in used]] = self.freq[:, used]
+        return Fuzzy(charset, freq)
+
+    def mismatch(self, other: Fuzzy, cost: np.ndarray | None = None) -> np.ndarray:
+        """Expected cost of each position of one against each of the other; by default 1 for different characters."""
+        c = 1.0 - np.eye(len(self.charset)) if cost is None else cost
+        a, b = self.freq, other.freq
+        a, b = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-300), b / np.maximum(b.sum(axis=1, keepdims=True), 1e-300)
+        return a @ c @ b.T
+
     def distance(self, other: Fuzzy, p: int = 1) -> float:
         d = np.abs(self.freq - other.freq)
         return float(d.sum() / 2 if p == 1 else np.sqrt((d**2).sum(axis=1)).sum())

@@ -233,6 +233,16 @@ def pattern_match_all(x: C, pattern: str) -> Column:
     return run(col(x))
 
 
+def pattern_extract(x: C, pattern: str, lower: bool = False, html: bool = True, model: dict[str, str] | None = None) -> Column:
+    """As pattern_match, post-processed: names in lower case, values as text instead of source where html is False, or a struct of the model's fields, each cast to its type (null where it can't be)."""
+    m = pattern_match(x, pattern)
+    if lower:
+        m = F.transform_keys(m, lambda k, _: F.lower(k))
+    if not html:
+        m = F.transform_values(m, lambda _, v: F.trim(F.regexp_replace(F.regexp_replace(v, r"<[^<>]*>", " "), r"\s+", " ")))
+    return m if model is None else F.struct(*(F.try_element_at(m, F.lit(n)).try_cast(kind).alias(n) for n, kind in model.items()))
+
+
 def first_match(*results: Column) -> Column:
     """The first result that isn't null."""
     return F.coalesce(*results)
@@ -356,6 +366,53 @@ def node_text(x: C, selector: str, attribute: str | None = None) -> Column:
     return F.try_element_at(node_texts(x, selector, attribute), F.lit(1))
 
 
+def _cell_after(doc: str, title: str, exact: bool) -> _Node | None:
+    """The cell of a table that follows the first one with a title in it, or with exactly this text."""
+
+    def rows(n: _Node):
+        cells = [c for c in n.children if not isinstance(c, str) and c.tag in ("td", "th")]
+        yield from zip(cells, cells[1:])
+        for c in n.children:
+            if not isinstance(c, str):
+                yield from rows(c)
+
+    for cell, following in rows(_Tree(doc).root):
+        own = " ".join(cell.text().split())
+        if own == title if exact else title in own:
+            return following
+    return None
+
+
+def text_after(x: C, title: str, exact: bool = False) -> Column:
+    """Text of the table cell after the one with a title; null if there is none."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda d: None if (n := _cell_after(d, title, exact)) is None else " ".join(n.text().split()), na_action="ignore")
+
+    return run(col(x))
+
+
+def re_text(x: C, pattern: str, selector: str | None = None) -> Column:
+    """The first match of a pattern (its first group, if it has one) in the page's text, or in that of the selected node."""
+    whole = node_text(x, selector) if selector else parsed_text(col(x))
+    found = F.regexp_extract(whole, pattern, 1 if re.compile(pattern).groups else 0)
+    return F.when(whole.rlike(pattern), found)
+
+
+def re_html(x: C, pattern: str) -> Column:
+    """The first match of a pattern (its first group, if it has one) in the source."""
+    return F.when(col(x).rlike(pattern), F.regexp_extract(col(x), pattern, 1 if re.compile(pattern).groups else 0))
+
+
+def xpath_escape(s: str) -> str:
+    """A text as an XPath string; where both kinds of quotes are in it, as a concat() of its parts."""
+    if "'" in s and '"' in s:
+        parts = [f"'{p}'" for p in s.split("'")]
+        return "concat(" + ",\"'\",".join(parts) + ")"
+    return f'"{s}"' if "'" in s else f"'{s}'"
+
+
 def anchors(x: C) -> Column:
     """Addresses of all links."""
     return node_texts(x, "a[href]", "href")

@@ -114,6 +114,11 @@ def noise(scale: float, seed: int) -> Column:
     return (F.rand(seed) - 0.5) * F.lit(2.0 * scale)
 
 
+def heat(x: C, magnitude: float, seed: int) -> Column:
+    """A value with uniform noise of up to the magnitude on either side."""
+    return col(x) + noise(magnitude, seed)
+
+
 def multiplicative_noise(scale: float, seed: int) -> Column:
     return F.exp(noise(scale, seed))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,10 @@ def tfidf(docs: DataFrame, doc_id: str, words: str, model: DataFrame) -> DataFra
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Cosine of every pair of sparse vectors (id, word, w) that share a word."""
+    """Cosine of every pair of sparse vectors (id, word, w) that share a word with a weight; words without one, such as those of all documents, aren't joined."""
     norm = lambda d, i, n: d.groupBy(i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(n), F.count("*").alias(n + "_size"))
     r = right.withColumnRenamed("w", "w2")
-    dots = left.join(r, "word").groupBy(left_id, right_id).agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
+    dots = left.filter("w <> 0").join(r.filter("w2 <> 0"), "word").groupBy(left_id, right_id).agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
     return dots.join(norm(left, left_id, "n1"), left_id).join(norm(right, right_id, "n2"), right_id).withColumn("cosine", F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("dot") / (F.col("n1") * F.col("n2"))).otherwise(0.0))
 
 
@@ -54,12 +56,20 @@ def ngram_model(docs: DataFrame, text: str, n: int = 4, least: int = 2) -> DataF
     return docs.select(F.explode(char_ngrams(text, n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+#: N-grams of a model that is sent to every task; a larger one is joined.
+MODEL_NGRAMS = 1_000_000
+
+
 def ngram_score(docs: DataFrame, doc_id: str, text: str, model: DataFrame, n: int = 4) -> DataFrame:
     """covered: share of characters within frequent n-grams; matched: distinct ones found.
 
-    N-grams are joined by equality; the union of the overlapping intervals is a
-    running maximum of their ends.
+    A model of up to MODEL_NGRAMS n-grams goes to the tasks, and texts are
+    scored where they are.  With a larger one n-grams are joined by equality, and
+    the union of the overlapping intervals is a running maximum of their ends.
     """
+    known = model.select("ngram").limit(MODEL_NGRAMS + 1)
+    if (own := known.count()) <= MODEL_NGRAMS:
+        return _ngram_score_here(docs, doc_id, text, [r[0] for r in known.collect()] if own else [], n)
     at = docs.select(doc_id, F.length(text).alias("len"), F.posexplode(char_ngrams(text, n)).alias("start", "ngram"))
     hit = at.join(model.select("ngram"), "ngram")
     w = Window.partitionBy(doc_id).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +80,69 @@ def ngram_score(docs: DataFrame, doc_id: str, text: str, model: DataFrame, n: in
     return base.join(s, doc_id, "left").select(doc_id, F.when(F.col("len") > 0, F.coalesce("chars", F.lit(0)) / F.col("len")).otherwise(0.0).alias("covered"), F.coalesce("matched", F.lit(0)).alias("matched"))
 
 
+def _ngram_score_here(docs: DataFrame, doc_id: str, text: str, ngrams: list[str], n: int) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(frozenset(ngrams))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value
+        for b in batches:
+            covered, matched = [], []
+            for t in b.column(text):
+                t = t.as_py() or ""
+                found, chars, last = set(), 0, 0
+                for i in range(len(t) - n + 1):
+                    if (g := t[i : i + n]) in known:
+                        found.add(g)
+                        chars += i + n - max(i, last)
+                        last = i + n
+                covered.append(chars / len(t) if t else 0.0)
+                matched.append(len(found))
+            yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(covered, pa.float64()), pa.array(matched, pa.int64())], [doc_id, "covered", "matched"])
+
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, covered double, matched bigint")
+
+
+def cosine_top_k(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """q, id, r: the k items most similar to each query by cosine (of equal ones the lower id), a query itself left out.
+
+    Both sides are packed into blocks of rows; each pair of blocks is one matrix
+    product, which gives k candidates a query, and these are ranked.
+    """
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, block):
+                    c = b.slice(at, block)
+                    v = c.column("v")
+                    x = np.asarray(v.flatten(), np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c.column("id"), np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [f"{side}_ids", f"{side}_rows"])
+
+        d = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+        return d.mapInArrow(run, f"{side}_ids binary, {side}_rows binary")
+
+    def unit(ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+        i = np.frombuffer(ids, np.int64)
+        x = np.frombuffer(rows, np.float64).reshape(len(i), -1)
+        n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return i, x / np.where(n > 0, n, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                (qi, q), (ii, x) = unit(row["q_ids"], row["q_rows"]), unit(row["i_ids"], row["i_rows"])
+                c = q @ x.T
+                c[qi[:, None] == ii[None, :]] = -np.inf
+                top = min(k, len(ii))
+                # all that are as good as the k-th, so that ties are settled by id
+                least = np.partition(c, len(ii) - top, axis=1)[:, len(ii) - top]
+                a, j = np.nonzero((c >= least[:, None] - 1e-12) & np.isfinite(c))
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ii[j]), pa.array(c[a, j])], ["q", "id", "c"])
+
+    pairs = packed(queries, "q").crossJoin(packed(items, "i")).mapInArrow(run, "q bigint, id bigint, c double")
+    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "id"))).filter(F.col("r") <= k).select("q", "id", "r")
+
+
 # ---- one-hot
 
 

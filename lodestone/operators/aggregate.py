@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..order import keys
@@ -56,13 +56,24 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def unique(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFrame:
-    """Distinct values in the order in which they first occur."""
+    """Distinct values in the order in which they first occur; of values that occur first at the same place, the lower one first."""
     names = [k.lstrip("-") for k in order_by]
-    first = df.groupBy(value).agg(*(F.min(n).alias(f"__k{i}") for i, n in enumerate(names[:1])))
-    down = order_by[0].startswith("-")
-    if down:
-        first = df.groupBy(value).agg(F.max(names[0]).alias("__k0"))
-    return first.orderBy(*keys(["-__k0" if down else "__k0"]), value).select(value)
+    d = df.select(F.col(value).alias("v"), *(F.col(n).alias(f"k{i}") for i, n in enumerate(names)))
+    sort = [f"-k{i}" if k.startswith("-") else f"k{i}" for i, k in enumerate(order_by)]
+    if len(names) == 1:
+        first = d.groupBy("v").agg((F.max if sort[0][0] == "-" else _min_null_lowest)("k0").alias("k0"))
+    elif not any(k[0] == "-" for k in sort):
+        # structs compare key by key, nulls lowest
+        first = d.groupBy("v").agg(F.min(F.struct(*sort)).alias("k")).select("v", "k.*")
+    else:
+        w = Window.partitionBy("v").orderBy(*keys(sort))
+        first = d.withColumn("n", F.row_number().over(w)).filter("n = 1")
+    return first.orderBy(*keys(sort), "v").select(F.col("v").alias(value))
+
+
+def _min_null_lowest(name: str) -> Column:
+    """The lowest value, which is null if any is."""
+    return F.min(F.struct(name))[name]
 
 
 def duplicates(df: DataFrame, *columns: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import POS, keys, with_pos
+from ..order import POS, free, keys, with_pos
 
 
 def offset(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
@@ -24,37 +24,40 @@ def slice_rows(df: DataFrame, start: int, stop: int | None, step: int, order_by:
     """Rows start, start + step, ... before stop, counted from 0."""
     if start < 0 or step < 1:
         raise ValueError("start must not be negative, step at least 1")
-    d = with_pos(df, order_by, partition_by)
-    p = F.col(POS) - 1
+    (pos,) = free(df.columns, POS)
+    d = with_pos(df, order_by, partition_by, pos)
+    p = F.col(pos) - 1
     keep = (p >= start) & ((p - start) % step == 0)
-    return d.filter(keep if stop is None else keep & (p < stop)).drop(POS)
+    return d.filter(keep if stop is None else keep & (p < stop)).drop(pos)
 
 
 def subset(df: DataFrame, fraction: int, order_by: Sequence[str], partition_by: Sequence[str] | None = None) -> DataFrame:
     """Every fraction-th row: number n, 2n, 3n, ..."""
-    return with_pos(df, order_by, partition_by).filter(F.col(POS) % fraction == 0).drop(POS)
+    (pos,) = free(df.columns, POS)
+    return with_pos(df, order_by, partition_by, pos).filter(F.col(pos) % fraction == 0).drop(pos)
 
 
-def _first_failing(df: DataFrame, test: Column, order_by: Sequence[str], partition_by: Sequence[str] | None) -> tuple[DataFrame, Column]:
-    """Positions, and the first position where test isn't true (null: none)."""
-    fails = F.when(~F.coalesce(test, F.lit(False)), F.col(POS))
-    d = with_pos(df, order_by, partition_by)
+def _first_failing(df: DataFrame, test: Column, order_by: Sequence[str], partition_by: Sequence[str] | None) -> tuple[DataFrame, str, str]:
+    """Positions, and the first position where test isn't true (null: none), with the names of both columns."""
+    pos, stop = free(df.columns, POS, "_stop")
+    fails = F.when(~F.coalesce(test, F.lit(False)), F.col(pos))
+    d = with_pos(df, order_by, partition_by, pos)
     if partition_by:
-        return d.withColumn("__stop", F.min(fails).over(Window.partitionBy(*partition_by))), F.col("__stop")
-    one = d.agg(F.min(fails).alias("__stop"))
-    return d.crossJoin(F.broadcast(one)), F.col("__stop")  # a single row
+        return d.withColumn(stop, F.min(fails).over(Window.partitionBy(*partition_by))), pos, stop
+    one = d.agg(F.min(fails).alias(stop))
+    return d.crossJoin(F.broadcast(one)), pos, stop  # a single row
 
 
 def take_while(df: DataFrame, test: Column, order_by: Sequence[str], partition_by: Sequence[str] | None = None) -> DataFrame:
     """Rows before the first for which test isn't true."""
-    d, stop = _first_failing(df, test, order_by, partition_by)
-    return d.filter(stop.isNull() | (F.col(POS) < stop)).drop(POS, "__stop")
+    d, pos, stop = _first_failing(df, test, order_by, partition_by)
+    return d.filter(F.col(stop).isNull() | (F.col(pos) < F.col(stop))).drop(pos, stop)
 
 
 def drop_while(df: DataFrame, test: Column, order_by: Sequence[str], partition_by: Sequence[str] | None = None) -> DataFrame:
     """Rows from the first for which test isn't true."""
-    d, stop = _first_failing(df, test, order_by, partition_by)
-    return d.filter(F.col(POS) >= stop).drop(POS, "__stop")
+    d, pos, stop = _first_failing(df, test, order_by, partition_by)
+    return d.filter(F.col(pos) >= F.col(stop)).drop(pos, stop)
 
 
 def stop_on(df: DataFrame, test: Column, order_by: Sequence[str], partition_by: Sequence[str] | None = None) -> DataFrame:
@@ -78,7 +81,9 @@ def batch(df: DataFrame, size: int | None, value: str, order_by: Sequence[str],
 
 def as_list(df: DataFrame, value: str, order_by: Sequence[str]) -> DataFrame:
     """All values as one list (`items`), in order."""
-    return df.agg(F.array_sort(F.collect_list(F.struct(*[F.col(k.lstrip("-")).alias(f"k{i}") for i, k in enumerate(order_by)], F.col(value).alias("v")))).alias("s")).select(F.transform("s", lambda s: s["v"]).alias("items"))
+    (pos,) = free(df.columns, POS)
+    pairs = with_pos(df, order_by, name=pos).select(F.col(pos).alias("p"), F.col(value).alias("v"))
+    return pairs.agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("s")).select(F.transform("s", lambda s: s["v"]).alias("items"))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], mode: str = "long", fill: dict | None = None) -> DataFrame:
@@ -119,5 +124,6 @@ def count_rows(df: DataFrame, order_by: Sequence[str], name: str = "n", partitio
 
 def progress(df: DataFrame, order_by: Sequence[str], name: str = "percent") -> DataFrame:
     """Share of the rows up to each row, in percent."""
-    total = df.agg(F.count("*").alias("__total"))
-    return with_pos(df, order_by).crossJoin(F.broadcast(total)).withColumn(name, F.lit(100.0) * F.col(POS) / F.col("__total")).drop(POS, "__total")
+    pos, all_ = free([*df.columns, name], POS, "_total")
+    total = df.agg(F.count("*").alias(all_))
+    return with_pos(df, order_by, name=pos).crossJoin(F.broadcast(total)).withColumn(name, F.lit(100.0) * F.col(pos) / F.col(all_)).drop(pos, all_)

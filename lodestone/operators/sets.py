@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..order import keys
 
@@ -18,9 +19,13 @@ def chain(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.withColumn("_src", F.lit(i)) for i, s in enumerate(sources)])
 
 
-def flatten(df: DataFrame, column: str) -> DataFrame:
-    """One level of lists as rows."""
-    return df.withColumn(column, F.explode(column))
+def flatten(df: DataFrame, column: str, deep: bool = True) -> DataFrame:
+    """Elements of lists, and of the lists in them, as rows; with deep=False one level only.  A null list has no rows, a null element is a row."""
+    kind = df.schema[column].dataType
+    c = F.col(column)
+    while deep and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        c, kind = F.flatten(F.filter(c, lambda x: x.isNotNull())), kind.elementType
+    return df.withColumn(column, F.explode(c))
 
 
 def merge_sort(*sources: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -56,47 +61,56 @@ def sample(df: DataFrame, share: float, key: Sequence[str], seed: int = 0) -> Da
 def draw(df: DataFrame, n: int, key: Sequence[str], weight: str | None = None, seed: int = 0) -> DataFrame:
     """n rows drawn with replacement, in proportion to their weight; `_draw` numbers them from 0.
 
-    Cumulative weights cut [0, total) into ranges; each draw falls into one.  The
-    draws, not the table, are sorted against the ranges' ends by an as-of join.
+    A draw falls into a bucket of rows (by a hash of the key) in proportion to
+    the bucket's weight, and then on a row of it.  In each bucket draws and ends
+    of cumulative weights are sorted together, and a draw takes the next end: the
+    work is that of one sort of rows and draws.  A column `_draw` is replaced.
     """
+    own, n_buckets = [c for c in df.columns if c != "_draw"], 1024
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    d = df.withColumn("__w", w).filter("__w > 0").withColumn("__h", F.xxhash64(*key, F.lit(seed)))
-    part = F.pmod("__h", F.lit(1024))
-    within = F.sum("__w").over(Window.partitionBy("__part").orderBy("__h", *key))
-    sums = d.groupBy(part.alias("__part")).agg(F.sum("__w").alias("__s"))
-    before = sums.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__from"), F.sum("__s").over(Window.partitionBy()).alias("__total"))  # 1,024 rows
-    draws = d.sparkSession.range(n).select(F.col("id").alias("_draw"), uniform(["id"], seed + 1).alias("__u"))
-    edges = before.select("__part", "__from", "__total", (F.lead("__from").over(Window.orderBy("__part"))).alias("__to"))
-    placed = draws.join(F.broadcast(edges), (F.col("__u") * F.col("__total") >= F.col("__from")) & (F.coalesce(F.col("__to"), F.lit(float("inf"))) > F.col("__u") * F.col("__total")))
-    rows = d.withColumn("__part", part).withColumn("__end", within).withColumn("__begin", F.col("__end") - F.col("__w"))
-    x = F.col("__u") * F.col("__total") - F.col("__from")
-    hit = placed.join(rows, "__part").filter((x >= F.col("__begin")) & (x < F.col("__end")))
-    return hit.select("_draw", *df.columns)
+    rows = df.select(F.struct(*own).alias("row"), w.alias("w"), F.xxhash64(*key, F.lit(seed)).alias("h"), F.struct(*key).alias("k")).filter("w > 0").withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
+    sums = rows.groupBy("bucket").agg(F.sum("w").alias("s"))
+    every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = sums.select("bucket", (F.sum("s").over(Window.orderBy("bucket")) - F.col("s")).alias("from_"), F.col("s").alias("weight"), F.sum("s").over(every).alias("total"), F.lead("bucket").over(Window.orderBy("bucket")).isNull().alias("last"))  # 1,024 rows
+    u = F.col("u") * F.col("total")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("_draw"), uniform(["id"], seed + 1).alias("u"))
+    placed = draws.join(F.broadcast(edges), (u >= F.col("from_")) & (F.col("last") | (u < F.col("from_") + F.col("weight")))).select("bucket", "_draw", (u - F.col("from_")).alias("at"))
+    ends = rows.withColumn("at", F.sum("w").over(Window.partitionBy("bucket").orderBy("h", "k", F.xxhash64("row"))))
+    both = ends.select("bucket", "at", "row", F.lit(None).cast("bigint").alias("_draw")).unionByName(placed.select("bucket", "at", F.lit(None).cast(ends.schema["row"].dataType).alias("row"), "_draw"))
+    # an end is after the draws below it; a draw at an end takes the row after
+    later = Window.partitionBy("bucket").orderBy(F.desc("at"), F.col("_draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy("bucket").orderBy(F.col("at"), F.col("_draw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("next", F.last("row", ignorenulls=True).over(later))
+    # rounding may put a draw behind the last end of its bucket
+    hit = hit.withColumn("row", F.coalesce("next", F.last("row", ignorenulls=True).over(past))).filter("_draw is not null")
+    return hit.select("_draw", "row.*")
 
 
 def mix(sources: Sequence[DataFrame], probs: Sequence[float], order_by: Sequence[str], seed: int = 0) -> DataFrame:
     """Random interleaving: draw number i takes the next row of a source chosen by probs; ends before the first draw from a source that has none left.
 
-    Which source each draw takes is a hash of its number, so every source's r-th
-    row meets the r-th draw of that source in an equi-join, and only the length
-    of the result needs a look at all counts.
+    Which source each draw takes is a hash of its number.  Draws are counted by
+    block of numbers and source, so that each block is numbered on its own; a
+    source's r-th row meets its r-th draw in an equi-join.
     """
     from ..order import with_pos
 
-    total = sum(probs)
+    total, block = sum(probs), 1 << 16
     counts = [s.count() for s in sources]
     n = sum(counts) + 1
     u = uniform(["id"], seed)
-    cum, choice = 0.0, F.lit(len(probs) - 1)
+    choice = F.lit(len(probs) - 1)
     for i in reversed(range(len(probs) - 1)):
-        cum = sum(probs[: i + 1]) / total
-        choice = F.when(u < cum, i).otherwise(choice)
-    draws = sources[0].sparkSession.range(n).select(F.col("id").alias("_draw"), choice.alias("_src"))
-    draws = with_pos(draws, ["_draw"], ["_src"])
-    short = reduce(lambda a, b: a | b, [(F.col("_src") == i) & (F.col("_pos") > c) for i, c in enumerate(counts)])
-    end = draws.filter(short).agg(F.coalesce(F.min("_draw"), F.lit(n)).alias("__end"))
+        choice = F.when(u < sum(probs[: i + 1]) / total, i).otherwise(choice)
+    draws = sources[0].sparkSession.range(n).select(F.col("id").alias("_draw"), choice.alias("_src"), F.floor(F.col("id") / block).alias("_block"))
+    per_block = draws.groupBy("_src", "_block").agg(F.count("*").alias("_n"))
+    before = per_block.select("_src", "_block", (F.sum("_n").over(Window.partitionBy("_src").orderBy("_block")) - F.col("_n")).alias("_before"))  # a row for 65,536 draws
+    draws = draws.withColumn("_row", F.row_number().over(Window.partitionBy("_src", "_block").orderBy("_draw"))).join(before, ["_src", "_block"])
+    draws = draws.select("_draw", "_src", (F.col("_row") + F.col("_before")).alias("_pos"))
+    short = reduce(lambda a, b: a | b, [(F.col("_src") == i) & (F.col("_pos") == c + 1) for i, c in enumerate(counts)])
+    end = draws.filter(short).agg(F.coalesce(F.min("_draw"), F.lit(n)).alias("_end"))
     rows = reduce(DataFrame.unionByName, [with_pos(s, order_by).withColumn("_src", F.lit(i)) for i, s in enumerate(sources)])
-    return draws.crossJoin(F.broadcast(end)).filter("_draw < __end").join(rows, ["_src", "_pos"]).drop("__end", "_pos")
+    return draws.crossJoin(F.broadcast(end)).filter("_draw < _end").join(rows, ["_src", "_pos"]).drop("_end", "_pos")
 
 
 def partial_sort(df: DataFrame, size: int, value: str, order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
@@ -121,5 +135,5 @@ def partial_sort(df: DataFrame, size: int, value: str, order_by: Sequence[str],
         r["_rank"] = range(len(r))
         return r
 
-    grouped = df.groupBy(*partition_by) if partition_by else df.groupBy(F.lit(0))
+    grouped = df.groupBy(*partition_by) if partition_by else df.groupBy(F.lit("all rows"))
     return grouped.applyInPandas(run, schema)

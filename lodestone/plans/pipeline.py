@@ -63,6 +63,31 @@ def grid_table(spark: SparkSession, params: Mapping[str, Sequence]) -> DataFrame
     return out
 
 
+class Space:
+    """Values of a parameter: cast() takes the nearest, move() a neighbour, random() any."""
+
+    def __init__(self, *values):
+        if not values:
+            raise ValueError("a space has one value at least")
+        self.values = list(values)
+
+    def cast(self, v):
+        """v itself if it is in the space; else the nearest number, the first of equally near ones."""
+        if v in self.values:
+            return v
+        return min(self.values, key=lambda x: abs(x - v))
+
+    def move(self, v, step: int = 1):
+        """The value `step` places after v, or the last (first) one there is."""
+        i = self.values.index(self.cast(v)) + step
+        return self.values[max(0, min(i, len(self.values) - 1))]
+
+    def random(self, seed: int):
+        import random
+
+        return random.Random(seed).choice(self.values)
+
+
 def sweep(df: DataFrame, params: Mapping[str, Iterable], metric: Callable[..., Column]) -> DataFrame:
     """A metric for each combination, from one scan: all are aggregates of one query. `metric(**params)` is an aggregate column."""
     combos = grid(params)

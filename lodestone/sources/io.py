@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import glob
+import datetime as dt
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def collection(spark: SparkSession, items: Iterable, schema: str = "value bigint") -> DataFrame:
@@ -85,13 +86,20 @@ def json_objects(spark: SparkSession, path: str, schema: str | None = None) -> D
     return text.select(F.from_json("value", kind).alias("o")).select("o.*")
 
 
+def globbed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern with * and ?, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def paged(spark: SparkSession, pattern: str, ids: Iterable[int] | None = None, start: int | None = None, stop: int | None = None, kind: str = "text", **options) -> DataFrame:
     """Pages pattern % i, stop included, or all there are; `_page` is the number."""
     if ids is None and start is not None and stop is not None:
         ids = range(start, stop + 1)
     rx = re.escape(pattern).replace("%d", r"(\d+)")
     if ids is None:
-        found = [(int(m[1]), p) for p in glob.glob(re.sub(r"%0?\d*d", "*", pattern)) if (m := re.fullmatch(rx, p))]
+        found = [(int(m[1]), p) for p in globbed(spark, re.sub(r"%0?\d*d", "*", pattern)) if (m := re.search(rx + "$", p))]
         paths = [p for i, p in sorted(found) if start is None or i >= start]
     else:
         paths = [pattern % i for i in ids]
@@ -135,55 +143,95 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 # ---- Files of the notation
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-
+def read_notation(spark: SparkSession, path: str) -> DataFrame:
+    """Files of the notation: path, _pos and each value as VARIANT.
 
-class _NotationReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
+    Spark reads the files, from any file system, each as a whole: a value may go
+    over several lines.
+    """
 
-    def partitions(self) -> Sequence[InputPartition]:
-        found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(p) for p in found if not os.path.basename(p).startswith(("_", "."))]
+    def run(batches):
+        import pandas as pd
 
-    def read(self, partition) -> Iterator[tuple]:
         from ..functions import notation
 
-        with open(partition.value, encoding="utf-8") as f:
-            for i, v in enumerate(notation.load(f.read()), 1):
-                yield partition.value, i, notation.to_json(v)
+        for pdf in batches:
+            for p, text in zip(pdf["path"], pdf["text"]):
+                yield pd.DataFrame([(p, i, notation.to_json(v)) for i, v in enumerate(notation.load(text), 1)], columns=["path", "_pos", "value"])
 
+    return whole_files(spark, path).mapInPandas(run, "path string, _pos bigint, value string").withColumn("value", F.parse_json("value"))
 
-class NotationSource(DataSource):
-    """`spark.read.format("notation").load(path)`: path, _pos and each value as JSON; one task for each file."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "notation"
+def write_notation(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Each row as a line of the notation."""
+    from ..functions.notation import notation_encode
 
-    def schema(self) -> str:
-        return "path string, _pos bigint, value string"
+    df.select(notation_encode(F.to_json(F.struct(*df.columns))).alias("value")).write.mode(mode).text(path)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _NotationReader(self.options)
 
+# ---- data bases
 
-def read_notation(spark: SparkSession, path: str) -> DataFrame:
-    """Files of the notation with `value` as VARIANT."""
-    spark.dataSource.register(NotationSource)
-    return spark.read.format("notation").load(path).withColumn("value", F.parse_json("value"))
 
+def literal(v) -> str:
+    """A value as an SQL literal."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    if isinstance(v, (dt.datetime, dt.date)):
+        kind = "TIMESTAMP" if isinstance(v, dt.datetime) else "DATE"
+        return f"{kind} '{v}'"
+    return "'" + str(v).replace("'", "''") + "'"
 
-def write_notation(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Each row as a line of the notation."""
-    from ..functions.notation import notation_encode
 
-    df.select(notation_encode(F.to_json(F.struct(*df.columns))).alias("value")).write.mode(mode).text(path)
+def with_args(query: str, args: dict | list | None) -> str:
+    """A statement with its arguments as literals; what is within quotes isn't a place for one."""
+    if not args:
+        return query
+    rest = iter(args if not isinstance(args, dict) else ())
 
+    def put(m: re.Match) -> str:
+        if m["name"] and isinstance(args, dict):
+            return literal(args[m["name"]])
+        return literal(next(rest)) if m["place"] and not isinstance(args, dict) else m[0]
 
-# ---- data bases
+    return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|::|:(?P<name>[A-Za-z_]\w*)|(?P<place>\?)", put, query)
+
+
+class JsonDict:
+    """A small dictionary of the driver, kept as one JSON file on any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.values: dict = {}
+        rows = spark.read.text(path, wholetext=True).collect() if self._fs().exists(self._file()) else []
+        if rows:
+            self.values = json.loads(rows[0]["value"])
+
+    def _file(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+
+    def _fs(self):
+        return self._file().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def __getitem__(self, k):
+        return self.values[k]
+
+    def __setitem__(self, k, v):
+        self.values[k] = v
+        self.save()
+
+    def __contains__(self, k):
+        return k in self.values
+
+    def save(self) -> None:
+        out = self._fs().create(self._file(), True)
+        try:
+            out.write(bytearray(json.dumps(self.values).encode()))
+        finally:
+            out.close()
 
 
 class DB:
@@ -193,10 +241,39 @@ class DB:
         self.spark, self.url, self.properties = spark, url, properties
 
     def select(self, query: str, args: dict | list | None = None) -> DataFrame:
+        """Rows of a statement; args by name (:name) or place (?)."""
         if self.url:
-            return self.spark.read.format("jdbc").option("url", self.url).options(**self.properties).option("query", query).load()
+            return self.spark.read.format("jdbc").option("url", self.url).options(**self.properties).option("query", with_args(query, args)).load()
         return self.spark.sql(query, args=args) if args else self.spark.sql(query)
 
+    def execute(self, statement: str, args: dict | list | None = None) -> None:
+        """Runs a statement that changes something, through the driver's connection where a url is given."""
+        if not self.url:
+            self.spark.sql(statement, args=args).collect() if args else self.spark.sql(statement).collect()
+            return
+        with self._connection() as c:
+            c.createStatement().execute(with_args(statement, args))
+
+    def execute_script(self, script: str) -> None:
+        """Statements that end with semicolons, one after the other; semicolons within quotes end nothing."""
+        for s in re.findall(r"(?:'(?:[^']|'')*'|\"[^\"]*\"|[^;'\"])+", script):
+            if s.strip():
+                self.execute(s.strip())
+
+    @contextmanager
+    def _connection(self):
+        jvm = self.spark._jvm
+        p = jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            p.setProperty(k, v)
+        if "driver" in self.properties:
+            jvm.org.apache.spark.util.Utils.classForName(self.properties["driver"], True, False)
+        c = jvm.java.sql.DriverManager.getConnection(self.url, p)
+        try:
+            yield c
+        finally:
+            c.close()
+
     def select_one(self, query: str, args: dict | list | None = None):
         return self.select(query, args).first()
 
@@ -219,4 +296,11 @@ class DB:
         self.insert(table, self.spark.createDataFrame(rows, list(attrs)), attrs)
 
     def table_exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(name)
+        if not self.url:
+            return self.spark.catalog.tableExists(name)
+        with self._connection() as c:
+            found = c.getMetaData().getTables(None, None, "%", None)
+            while found.next():
+                if found.getString("TABLE_NAME").lower() == name.lower():
+                    return True
+        return False

@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 import pytest
 
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, families  # noqa: F401 - families registers its queries
 from lodestone.session import TABLES
 
 
