@@ -39,6 +39,8 @@ WINDOW, LANES = 32, 512
 TRAIN_LANES, LANES_LEAST, UPDATES = 512, 16, 64
 END, OTHER = 0, 1
 FLUSH_WORDS = 4_000_000
+#: Bytes of text that are split into words at a time: their arrays fit a core's cache.
+PIECE = 512 << 10
 F32 = np.float32
 
 
@@ -65,11 +67,11 @@ def _count_rows(buckets: int):
             return rows(used.tolist(), [h[edge[i] : edge[i + 1]].tobytes() for i in used], [c[edge[i] : edge[i + 1]].tobytes() for i in used])
 
         for batch in batches:
-            for b in textcore.pieces(batch, "text"):
+            for b in textcore.pieces(batch, "text", PIECE):
                 w, h = shape.ascii_words(b.column("text"))
                 if not len(h):
                     continue
-                h, at, c = np.unique(h, return_index=True, return_counts=True)
+                h, at, c = _distinct(h)
                 kept.append((h, c))
                 n += len(h)
                 pair, first = _pairs(w, at)
@@ -85,6 +87,23 @@ def _count_rows(buckets: int):
     return run
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where one of each is, and how many there are.
+
+    Values and places are sorted as one number; values that agree in all but
+    their last bits, which is very rare, are sorted in full.
+    """
+    bits = U64(max(1, len(h) - 1).bit_length())
+    x = np.sort((h >> bits << bits) | np.arange(len(h), dtype=U64))
+    at = (x & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    x >>= bits
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    own = h[at]
+    if (own[1:] != own[:-1]).sum() != len(begin) - 1:
+        return np.unique(h, return_index=True, return_counts=True)
+    return own[begin], at[begin], np.diff(np.append(begin, len(h)))
+
+
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sum of n for each."""
     order = np.argsort(keys)
@@ -142,15 +161,24 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, ids: np.ndarray, spelling: np.ndarray, edges: np.ndarray):
         self.hashes, self.ids, self.spelling, self.edges = hashes, ids, spelling, edges
+        # most words have a slot of their own, by their first 16 bits; those that share one are searched
+        slot = (hashes >> U64(48)).astype(np.int64)
+        self.slot_hash, self.slot_id, self.shared = np.zeros(1 << 16, U64), np.full(1 << 16, OTHER, np.int16), np.bincount(slot, minlength=1 << 16) > 1
+        self.slot_hash[slot], self.slot_id[slot] = hashes, ids
+
+    def ids_of(self, h: np.ndarray) -> np.ndarray:
+        """The id of each word by its hash; OTHER for those that aren't in the vocabulary."""
+        slot = (h >> U64(48)).astype(np.int64)
+        out = np.where(self.slot_hash[slot] == h, self.slot_id[slot], np.int16(OTHER))
+        if len(self.hashes) and len(more := np.flatnonzero(self.shared[slot])):
+            at = np.minimum(np.searchsorted(self.hashes, h[more]), len(self.hashes) - 1)
+            out[more] = np.where(self.hashes[at] == h[more], self.ids[at], OTHER)
+        return out
 
     def tokens(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token ids (each text's words, then END), the first token of each text, and log-probability of each text's spelled words."""
         w, h = shape.ascii_words(column)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            ids = np.where(self.hashes[at] == h, self.ids[at], OTHER)
-        else:
-            ids = np.full(len(h), OTHER)
+        ids = self.ids_of(h)
         counts, spelled = w.counts, np.zeros(len(w.counts))
         if len(rare := np.flatnonzero(ids == OTHER)):
             pair, first = _pairs(w, rare)
@@ -329,15 +357,17 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
     d, n, kind = SIZE, steps * lanes, h.dtype
     new = lambda name, *shape: room(name, shape, kind)
     x = np.take(p["e"], source.reshape(-1), axis=0, out=new("x", n, 3 * d), mode="clip").reshape(steps, lanes, 3 * d)
-    keep = (source != START).astype(kind)[:, :, None]
+    begins = [np.flatnonzero(row == START) for row in source]
     before, after, z, r, c, ac = (new(k, steps, lanes, d) for k in ("before", "after", "z", "r", "c", "ac"))
-    gates, turned = new("gates", lanes, 2 * d), new("turned", lanes, 3 * d)
+    turned = new("turned", lanes, 3 * d)
     for t in range(steps):
-        s = np.multiply(h, keep[t], out=before[t])
+        s = before[t]
+        s[:] = h
+        s[begins[t]] = 0
         a = np.matmul(s, p["u"], out=turned)
-        np.add(x[t, :, : 2 * d], a[:, : 2 * d], out=gates)
-        _gate(gates)
-        z[t], r[t], ac[t] = gates[:, :d], gates[:, d:], a[:, 2 * d :]
+        _gate(np.add(x[t, :, :d], a[:, :d], out=z[t]))
+        _gate(np.add(x[t, :, d : 2 * d], a[:, d : 2 * d], out=r[t]))
+        ac[t] = a[:, 2 * d :]
         v = np.multiply(r[t], ac[t], out=c[t])
         v += x[t, :, 2 * d :]
         np.tanh(v, out=v)
@@ -387,38 +417,43 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
     by_r = np.subtract(1, r, out=c)
     by_r *= r
     by_r *= ac
-    dx, da, dh, ut = x, new("da", steps, lanes, 3 * d), np.zeros((lanes, d), kind), np.ascontiguousarray(p["u"].T)
-    one, turned = new("one", lanes, d), new("turned", lanes, d)
+    # errors of both gates, of the candidate, and of what the state adds to it
+    dg, dcand, dstate = new("dg", steps, lanes, 2 * d), new("dcand", steps, lanes, d), ac
+    dh, ut = np.zeros((lanes, d), kind), np.ascontiguousarray(p["u"].T)
+    turned = new("turned", lanes, d)
     for t in range(steps - 1, -1, -1):
         dh += dh_out[t]
-        da[t, :, :d] = dx[t, :, :d] = np.multiply(dh, by_z[t], out=one)
-        dx[t, :, 2 * d :] = np.multiply(dh, by_c[t], out=one)
+        np.multiply(dh, by_z[t], out=dg[t, :, :d])
+        v = np.multiply(dh, by_c[t], out=dcand[t])
+        np.multiply(v, by_r[t], out=dg[t, :, d:])
+        np.multiply(v, r[t], out=dstate[t])
         dh *= z[t]
-        np.multiply(one, r[t], out=da[t, :, 2 * d :])
-        one *= by_r[t]
-        da[t, :, d : 2 * d] = dx[t, :, d : 2 * d] = one
-        dh += np.matmul(da[t], ut, out=turned)
-        dh *= keep[t]
-    g["u"] = before.reshape(n, d).T @ da.reshape(n, 3 * d)
+        dh += np.matmul(dg[t], ut[: 2 * d], out=turned)
+        dh += np.matmul(dstate[t], ut[2 * d :], out=turned)
+        dh[begins[t]] = 0
+    last = before.reshape(n, d).T
+    g["u"] = np.concatenate([last @ dg.reshape(n, 2 * d), last @ dstate.reshape(n, d)], axis=1)
     flat = source.reshape(-1)
     order = np.argsort(flat, kind="stable")
     begin = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-    dx = np.take(dx.reshape(n, 3 * d), order, axis=0, out=da.reshape(n, 3 * d), mode="clip")
-    g["rows"], g["e"] = flat[order[begin]], _sums(dx, begin)
+    spare = x.reshape(-1)
+    g["rows"], g["e"] = flat[order[begin]], np.concatenate([_sums(dg.reshape(n, 2 * d), order, begin, spare[: 2 * d * n].reshape(n, 2 * d)), _sums(dcand.reshape(n, d), order, begin, spare[: d * n].reshape(n, d))], axis=1)
     return loss / n, g, h
 
 
-def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Sums of consecutive rows from each begin on; long stretches by a product, which is faster than reduceat."""
-    size = np.diff(np.append(begin, len(x)))
-    out = np.add.reduceat(x[np.repeat(size < 24, size)], np.concatenate([[0], np.cumsum(size[size < 24])[:-1]]).astype(np.int64), axis=0) if (size < 24).any() else x[:0]
-    if (size < 24).all():
-        return out
-    every, ones = np.empty((len(begin), x.shape[1]), x.dtype), np.ones(int(size.max()), x.dtype)
-    every[size < 24] = out
-    for i in np.flatnonzero(size >= 24).tolist():
-        np.matmul(ones[: size[i]], x[begin[i] : begin[i] + size[i]], out=every[i])
-    return every
+def _sums(x: np.ndarray, order: np.ndarray, begin: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Sums of the rows x[order] from each begin on; long stretches by a product, which is faster than reduceat."""
+    size = np.diff(np.append(begin, len(order)))
+    out, short = np.empty((len(begin), x.shape[1]), x.dtype), size < 24
+    if short.any():
+        rows = order[np.repeat(short, size)]
+        own = np.take(x, rows, axis=0, out=room[: len(rows)], mode="clip")
+        out[short] = np.add.reduceat(own, np.cumsum(size[short]) - size[short], axis=0)
+    ones = np.ones(int(size.max()), x.dtype)
+    for i in np.flatnonzero(~short).tolist():
+        n = size[i]
+        np.matmul(ones[:n], np.take(x, order[begin[i] : begin[i] + n], axis=0, out=room[:n], mode="clip"), out=out[i])
+    return out
 
 
 def lanes_for(n: int) -> int:
@@ -501,7 +536,7 @@ TOKENS = "doc_id bigint, tokens binary, spelled double"
 def _token_rows(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in textcore.pieces(batch, "text"):
+            for b in textcore.pieces(batch, "text", PIECE):
                 tokens, first, spelled = v.tokens(b.column("text"))
                 packed = pa.Array.from_buffers(pa.binary(), len(spelled), [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(tokens.astype("<i2"))])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, pa.array(spelled)], ["doc_id", "tokens", "spelled"])
