@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shape, textcore
-from .cluster import docs_of, partitions, stored
+from .cluster import docs_of, dropped, partitions, stored
 
 U64 = np.uint64
 CLASSES, WORDS, SIZE = 64, 4096, 32
@@ -39,6 +39,8 @@ WINDOW, LANES = 32, 512
 TRAIN_LANES, LANES_LEAST, UPDATES = 512, 16, 64
 END, OTHER = 0, 1
 FLUSH_WORDS = 4_000_000
+#: Tokens from which a text is scored together with other long ones only.
+LONG = 3_000
 #: Bytes of text that are split into words at a time: their arrays fit a core's cache.
 PIECE = 512 << 10
 F32 = np.float32
@@ -195,6 +197,7 @@ def vocabulary(docs: DataFrame, size: int = WORDS) -> Vocabulary:
     counted = stored(docs.mapInArrow(_count_rows(nb), "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(_most_frequent(size - 2), "kind int, key bigint, n bigint"))
     top = counted.filter("kind = 0").orderBy(F.desc("n"), "key").limit(size - 2).toPandas()  # at most 4,094 rows
     pairs = counted.filter("kind = 1").toPandas()  # at most 257 x 257 rows
+    dropped(counted)
     h, ids, edges = top.key.to_numpy(np.int64).view(U64), np.arange(len(top)) + 2, class_edges(top.n.to_numpy(np.int64))
     n = np.full((257, 257), 0.1)
     n.reshape(-1)[pairs.key.to_numpy(np.int64)] += pairs.n.to_numpy(np.float64)
@@ -544,25 +547,36 @@ def _token_rows(v: Vocabulary):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """Tokens of consecutive texts and the first of each, FLUSH_WORDS or a little more at a time, with their rows."""
-    kept, n = [], 0
+def _gathered(batches: Iterator[pa.RecordBatch], long: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """Tokens of texts and the first of each, FLUSH_WORDS or a little more at a time, with their rows.
 
-    def join():
-        rows = pa.Table.from_batches(kept).combine_chunks()
-        tokens = [np.frombuffer(x, np.int16) for b in kept for x in _values(b.column("tokens"))]
-        size = np.asarray(pc.binary_length(rows.column("tokens"))).astype(np.int64) // 2
-        return np.concatenate(tokens), np.concatenate([[0], np.cumsum(size)]), rows
+    Texts of more than `long` tokens are gathered apart from the others, so that lanes end at about the same time.
+    """
+    kept: tuple[list, list] = ([], [])
+    n = [0, 0]
 
-    for b in batches:
-        if b.num_rows:
-            kept.append(b)
-            n += sum(len(x) // 2 for x in _values(b.column("tokens")))
-            if n >= FLUSH_WORDS:
-                yield join()
-                kept, n = [], 0
-    if kept:
-        yield join()
+    def join(k: int):
+        rows = pa.Table.from_batches(kept[k])
+        tokens = np.concatenate([np.frombuffer(x, np.int16) for b in kept[k] for x in _values(b.column("tokens"))])
+        size = np.asarray(pc.binary_length(rows.column("tokens"))).astype(np.int64) // 2
+        kept[k].clear()
+        n[k] = 0
+        return tokens, np.concatenate([[0], np.cumsum(size)]), rows.drop_columns(["tokens"])
+
+    for batch in batches:
+        apart = [batch]
+        if long is not None:
+            over = pc.greater(pc.binary_length(batch.column("tokens")), 2 * long)
+            apart = [batch.filter(pc.invert(over)), batch.filter(over)]
+        for k, b in enumerate(apart):
+            if b.num_rows:
+                kept[k].append(b)
+                n[k] += sum(len(x) // 2 for x in _values(b.column("tokens")))
+                if n[k] >= FLUSH_WORDS:
+                    yield join(k)
+    for k in range(2):
+        if kept[k]:
+            yield join(k)
 
 
 def _values(column: pa.Array) -> list[memoryview]:
@@ -616,7 +630,7 @@ def trained(tokens: DataFrame, edges: np.ndarray, rounds: int = ROUNDS, seed: in
 
 def _score_rows(p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, first, rows in _gathered(batches):
+        for tokens, first, rows in _gathered(batches, LONG):
             total = score_texts(p, tokens, first) + np.asarray(rows.column("spelled"))
             n = np.diff(first)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(n), pa.array(total), pa.array(total / n)], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
