@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shape, textcore
@@ -27,6 +27,8 @@ from .cluster import docs_of, need
 
 PASSAGE = 64
 MAX_LABELLED = 8000
+#: Bound of the sample's texts in bytes; they are on the driver at once.
+MAX_BYTES = 64 << 20
 FALSE_REJECTION = 0.005
 HIDDEN, ATTENTION = 16, 12
 HEADS = ("quality", "toxic")
@@ -198,13 +200,20 @@ def train(column: pa.Array, labels: np.ndarray, part: np.ndarray, steps: int = 4
     return m
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 7) -> Model | None:
-    """The model, from at most max_labelled labelled documents (the lowest by a hash of doc_id); None without labels."""
+def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 7, max_bytes: int = MAX_BYTES) -> Model | None:
+    """The model, from at most max_labelled labelled documents with at most max_bytes of text (the lowest by a hash of doc_id); None without labels."""
     need(labels, "doc_id", "quality", "toxic")
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = rows.withColumn("at", F.xxhash64("doc_id", F.lit(seed))).orderBy("at", "doc_id").limit(max_labelled)
-    sample = docs_of(docs).join(F.broadcast(rows), "doc_id").filter("text is not null").select("at", "doc_id", "text", "quality", "toxic")  # bounded by max_labelled
+    sample = docs_of(docs).join(F.broadcast(rows), "doc_id").filter("text is not null").select("at", "doc_id", "text", "quality", "toxic")
+    # where the sample's texts reach max_bytes, it ends: sizes of at most max_labelled rows are summed in order
+    sizes = sample.select("at", F.octet_length("text").cast("bigint").alias("n")).orderBy("at").limit(max_labelled)
+    total = sizes.withColumn("total", F.sum("n").over(Window.orderBy("at")))
+    last = total.filter(F.col("total") <= max_bytes).agg(F.max("at").alias("at")).first()["at"]
+    if last is None:
+        return None
+    sample = sample.filter(F.col("at") <= last)
     t = sample.toArrow().sort_by([("at", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     if t.num_rows < 3:
         return None

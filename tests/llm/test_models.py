@@ -60,6 +60,31 @@ def test_classifier_odd_rows(spark):
     assert attention_mil.classify(d.limit(0), l).count() == 0
 
 
+def test_scores_are_those_of_plain_loops():
+    """Gated attention and the weighted passage, passage by passage."""
+    rows, labels = labelled(400)
+    y = np.array([[1 - q, t] for _, q, t in labels])
+    m = attention_mil.train(pa.array([t for _, t in rows], pa.large_string()), y, np.arange(400) % 3, steps=30)
+    texts = [t for _, t in rows[:20]] + ["", "one", None, "river " * 700]
+    got = m.score(pa.array(texts, pa.large_string()))
+    sig, p = (lambda v: 1 / (1 + math.exp(-v))), {k: v.astype(float) for k, v in m.p.items()}
+    for i, t in enumerate(texts):
+        x, first = attention_mil.encode(pa.array([t], pa.large_string()), m.lexicon)
+        assert len(x) == max(1, math.ceil(len(re.findall("[a-z]+", t or "")) / attention_mil.PASSAGE)) == first[-1]
+        hidden = [[math.tanh(sum(min(6, max(-6, (v - a) / s)) * p["w"][j, k] for j, (v, a, s) in enumerate(zip(row, m.mean, m.scale))) + p["b"][k]) for k in range(attention_mil.HIDDEN)] for row in x.astype(float)]
+        for head in range(2):
+            e = [sum(math.tanh(sum(h[k] * p["v"][k, a] for k in range(len(h)))) * sig(sum(h[k] * p["u"][k, a] for k in range(len(h)))) * p["a"][a, head] for a in range(attention_mil.ATTENTION)) * (1 + math.log(len(x))) for h in hidden]
+            w = [math.exp(v - max(e)) for v in e]
+            bag = [sum(w[n] / sum(w) * hidden[n][k] for n in range(len(x))) for k in range(attention_mil.HIDDEN)]
+            assert abs(sig(sum(bag[k] * p["o"][head, k] for k in range(len(bag))) + p["c"][head]) - got[i, head]) < 1e-4
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    rows, labels = labelled(200)
+    d, l = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    assert attention_mil.fitted(d, l, max_bytes=10) is None and attention_mil.fitted(d, l, max_bytes=60_000) is not None
+
+
 def test_attention_gradient():
     r = np.random.default_rng(1)
     h, a, k = attention_mil.HIDDEN, attention_mil.ATTENTION, 2

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import queries
@@ -23,6 +24,27 @@ def test_stages(spark, sf):
     assert sum(r["quality"] for r in kept) > 0.9 * len(kept)
 
 
+def test_stages_take_odd_rows(spark, sf):
+    """Nulls in every column, empty and very long texts, repeated rows and columns with the operators' own names go through; so does an empty table."""
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    columns = real.columns
+    long = " ".join(f"w{i % 977} x{i % 1009}" for i in range(120_000))
+    odd = [(None, None, None, None, None), (900_001, None, "en", "odd", 5), (900_002, "", None, "odd", 0), (900_003, long, "en", None, None), (900_004, "a single sentence that is kept.", "en", "odd", 31), (900_004, "a single sentence that is kept.", "en", "odd", 31), (None, "a text without an id, kept as well.", "en", "odd", 35), (900_005, "... !!! ???", "xx", "odd", 11)]
+    docs = real.unionByName(spark.createDataFrame(odd, real.schema))
+    names = ["copy", "contaminated", "id_of_group", "unit_id", "unit_source", "unit_copies", "keep", "item_id", "h", "g", "sid"]
+    docs = docs.withColumns({n: F.lit("own") for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf))
+    assert docs.columns == [*columns, *names, "_copy"]
+    rows = docs.collect()
+    assert {r["copy"] for r in rows} == {"own"} and {r["g"] for r in rows} == {"own"}
+    assert {r["doc_id"] for r in rows} >= {900_004}
+    empty = spark.createDataFrame([], real.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stored(stage(spark, empty, sf))
+        assert empty.count() == 0
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
