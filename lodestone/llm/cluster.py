@@ -52,6 +52,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table of stored(), once all that is made from it has been written or collected."""
+    for path in df.inputFiles()[:1]:
+        folder = path.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("stored-"):
+            _remove(df.sparkSession, folder)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared_keys, textcore
-from .cluster import docs_of, free, stored
+from .cluster import docs_of, dropped, free, stored
 
 U64 = np.uint64
 N_WORDS = 3
@@ -343,6 +343,7 @@ def components(edges: DataFrame) -> DataFrame:
         two = labels.select(F.col("u").alias("label"), F.col("label").alias("jump"))
         new = stored(one.join(two, "label").select("u", "old", F.least("label", "jump").alias("label")))
         changed = new.filter("old <> label").limit(1).count()
+        dropped(labels)
         labels = new.select("u", "label")
         if not changed:
             return labels.select(F.col("u").alias("doc_id"), F.col("label").alias("group_id"))

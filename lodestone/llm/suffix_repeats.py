@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore
-from .cluster import docs_of, partitions, stored
+from .cluster import docs_of, dropped, partitions, stored
 
 U64 = np.uint64
 MIN_WORDS = 50
@@ -450,6 +450,7 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = stored(anchors.groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, pos binary, open binary, any boolean"))
     by_doc = again.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("open").alias("open"), F.max("any").alias("any")).filter("any").drop("any")
     some = stored(docs.join(by_doc.hint("merge"), "doc_id"))
+    dropped(again)
     packed = some.mapInArrow(_candidates(min_words, nb), "bucket int, " + ", ".join(f"{n} binary" for n, _ in CANDIDATES))
     suffixes = packed.groupBy("bucket").applyInArrow(_diverse, SUFFIXES)
     by_doc = stored(suffixes.groupBy("doc_id").agg(F.collect_list(F.struct("lead", "shard", "part", "left", "start", "stop")).alias("suffixes")))
