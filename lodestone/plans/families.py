@@ -207,10 +207,10 @@ _q("q144_set_union_intersect_arrays", "nation", lambda d: d.groupBy("n_regionkey
 
 
 def _chain() -> Pipeline:
-    return pipeline("only dear orders", lambda d: d.filter("o_totalprice > 50000"), None) >> (lambda d: d.withColumn("price", F.round(F.col("o_totalprice") * 1.1, 2))) >> pipeline(lambda d: d.select("o_orderkey", "price"))
+    return pipeline("only dear orders", lambda d: d.filter("o_totalprice > 50000"), None) >> (lambda d: d.withColumn("price", F.col("o_totalprice") * 2)) >> pipeline(lambda d: d.select("o_orderkey", "price"))
 
 
-_q("q150_chain_of_stages", "orders", lambda d: _chain()(d), "SELECT o_orderkey, round(o_totalprice * 1.1::DOUBLE, 2) AS price FROM orders WHERE o_totalprice > 50000")
+_q("q150_chain_of_stages", "orders", lambda d: _chain()(d), "SELECT o_orderkey, o_totalprice * 2 AS price FROM orders WHERE o_totalprice > 50000")
 _q(
     "q151_runs_of_a_grid", "orders", lambda d: sweep_runs(d, {"least": [100000, 200000], "status": ["F", "O"]}, lambda e, least, status: e.filter((F.col("o_totalprice") > least) & (F.col("o_orderstatus") == status)).agg(F.count("*").alias("n"))),
     "SELECT least, status, count(*) FILTER (WHERE o_totalprice > least AND o_orderstatus = status) AS n FROM orders, (VALUES (100000), (200000)) a(least), (VALUES ('F'), ('O')) b(status) GROUP BY ALL",
@@ -249,6 +249,10 @@ _q(
 )
 _q("q164_levenshtein_score", "part", lambda d: d.select("p_partkey", F.round(distance.leven_score("p_name", "p_type", 1.0, 1.0), 6).alias("s")), "SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS s FROM part")
 
+_q("q165_alignment_costs", "part", lambda d: d.select("p_partkey", distance.align(F.lower("p_type"), "p_name")["dist"].alias("pair"), distance.align_substring(F.lower("p_type"), "p_name")["dist"].alias("inside")), """
+    WITH d AS (SELECT p_partkey, p_name, lower(p_type) AS t FROM part), s AS (SELECT p_partkey, min(levenshtein(t, substr(p_name, i, n))) AS inside FROM d, range(1, 40) a(i), range(0, 40) b(n) WHERE i + n <= length(p_name) + 1 GROUP BY p_partkey)
+    SELECT p_partkey, levenshtein(t, p_name)::DOUBLE AS pair, inside::DOUBLE AS inside FROM d JOIN s USING (p_partkey)""")
+
 # ---- sources: written and read back
 
 
