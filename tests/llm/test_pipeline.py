@@ -33,12 +33,17 @@ def test_stages_take_odd_rows(spark, sf):
     docs = real.unionByName(spark.createDataFrame(odd, real.schema))
     names = ["copy", "contaminated", "id_of_group", "unit_id", "unit_source", "unit_copies", "keep", "item_id", "h", "g", "sid"]
     docs = docs.withColumns({n: F.lit("own") for n in names})
-    for name, stage in corpus_pipeline.STAGES:
+    # the classifier has few labels here and may reject any of them; the other stages have defined results
+    first = stored(corpus_pipeline.STAGES[0][1](spark, docs, sf))
+    assert first.columns == docs.columns and first.count() <= docs.count()
+    for name, stage in corpus_pipeline.STAGES[1:]:
         docs = stored(stage(spark, docs, sf))
+        kept = [r["doc_id"] for r in docs.collect()]
+        assert {None, 900_001, 900_002, 900_003, 900_004, 900_005} <= set(kept), name
+        assert name == "mixing" or kept.count(900_004) == kept.count(None) == 2, name
     assert docs.columns == [*columns, *names, "_copy"]
     rows = docs.collect()
     assert {r["copy"] for r in rows} == {"own"} and {r["g"] for r in rows} == {"own"}
-    assert {r["doc_id"] for r in rows} >= {900_004}
     empty = spark.createDataFrame([], real.schema)
     for name, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, sf))

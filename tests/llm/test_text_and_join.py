@@ -146,18 +146,6 @@ def test_jaccard_join_of_two_texts_under_one_id(spark):
     assert jaccard_join.jaccard_join(d.limit(0)).count() == 0
 
 
-def test_jaccard_join_matches_its_sql(spark, sf):
-    import duckdb
-
-    from lodestone.llm import queries
-
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = {(a, b): j for a, b, j in con.sql(queries.ORACLE_SQL["op1_ngram_jaccard_join"]).fetchall()}
-    got = pairs(queries.QUERIES["op1_ngram_jaccard_join"](spark, sf))
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (101, 100), (7, 7), (None, 3)]
     got = {r["doc_id"]: r["group_id"] for r in jaccard_join.components(spark.createDataFrame(edges, "doc_id_a bigint, doc_id_b bigint")).collect()}
