@@ -55,8 +55,8 @@ def _item_keys(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _sketches(w: textcore.Words, h: np.ndarray, width: int, classes: list[int], t: float, miss: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By class of item sizes: the texts and lowest keys of all bins of their sketches."""
+def _sketches(w: textcore.Words, h: np.ndarray, width: int, classes: list[int], t: float, miss: float, known: KeyFilter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By class of item sizes: the texts and lowest keys of all bins of their sketches, as far as the filter lets them through."""
     s, d, _ = w.shingles(width, h)
     if not len(s):
         return
@@ -65,12 +65,20 @@ def _sketches(w: textcore.Words, h: np.ndarray, width: int, classes: list[int],
     low, doc = key & _LOW, (key >> U64(44)).astype(np.int64)
     n = np.bincount(doc, minlength=len(w.first) - 1)
     most = 2.0 ** (np.floor(np.log2(np.maximum(n, 1))) + 1)
-    first = np.concatenate([[True], doc[1:] != doc[:-1]])
+    ok = known.admits(low, width)
+    # only texts that have any of the items' keys go on
+    some = np.zeros(len(n), bool)
+    some[doc[ok]] = True
+    some = some[doc]
+    low, doc, ok = low[some], doc[some], ok[some]
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
     for c in classes:
         bins = np.ceil(-math.log(miss) * most / (t * 2.0**c))
         b = np.floor(low * (bins / 2.0**44)[doc])
         keep = first.copy()
         keep[1:] |= b[1:] != b[:-1]
+        keep &= ok
         yield c, doc[keep], low[keep]
 
 
@@ -88,35 +96,31 @@ def _item_grams(text: str, k: int) -> tuple[int, set[bytes]]:
 OUT = "doc_id bigint, item_id bigint, containment double"
 
 
-def _probes(key: np.ndarray, width: int, size_class: int, bits: int) -> Iterator[np.ndarray]:
-    """Bits of the filter for keys of one shingle width and size class; bits: a power of two."""
+def _starts(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a key and its width; probe i of the filter is at the first plus i times the second."""
     with np.errstate(over="ignore"):
-        x = textcore.mix(key.astype(U64) + (U64(width) << U64(56)) + (U64(size_class) << U64(48)))
-        step = textcore.mix(x) | U64(1)
-        for i in range(PROBES):
-            yield (x + U64(i) * step) & U64(bits - 1)
+        x = textcore.mix(key.astype(U64) + (U64(width) << U64(48)))
+        return x, textcore.mix(x) | U64(1)
 
 
 class KeyFilter:
-    """A Bloom filter over (key, width, class)."""
+    """A Bloom filter over (key, width); bits: a power of two."""
 
     def __init__(self, bits: int, data: np.ndarray):
         self.bits, self.data = bits, data
 
-    def admits(self, key: np.ndarray, width: int, size_class: int) -> np.ndarray:
-        """Places of the keys that may be an item's."""
+    def admits(self, key: np.ndarray, width: int) -> np.ndarray:
+        """For each key whether it may be an item's."""
         left = np.arange(len(key))
+        x, step = _starts(key, width)
         for i in range(PROBES):
-            if not len(left):
-                break
             with np.errstate(over="ignore"):
-                if i == 0:
-                    x = textcore.mix(key.astype(U64) + (U64(width) << U64(56)) + (U64(size_class) << U64(48)))
-                    step = textcore.mix(x) | U64(1)
                 at = (x + U64(i) * step) & U64(self.bits - 1)
             ok = (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
             left, x, step = left[ok], x[ok], step[ok]
-        return left
+        out = np.zeros(len(key), bool)
+        out[left] = True
+        return out
 
 
 _BLOCK = 1 << 15
@@ -127,11 +131,12 @@ def _filter_rows(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, width, size = (np.asarray(b.column(c)) for c in ("key", "width", "class"))
+            key, width = np.asarray(b.column("key")), np.asarray(b.column("width"))
             at = []
-            for w, c in np.unique(np.stack([width, size]), axis=1).T.tolist() if len(key) else []:
-                own = key[(width == w) & (size == c)].view(U64)
-                at += list(_probes(own, w, c, bits))
+            for w in np.unique(width).tolist():
+                x, step = _starts(key[width == w].view(U64), w)
+                with np.errstate(over="ignore"):
+                    at += [(x + U64(i) * step) & U64(bits - 1) for i in range(PROBES)]
             at = np.unique(np.concatenate(at)) if at else np.zeros(0, U64)
             block = (at // U64(_BLOCK)).astype(np.int64)
             edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
@@ -150,10 +155,9 @@ def _either(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "data": pa.array([np.bitwise_or.reduce(data).tobytes()], pa.binary())})
 
 
-def _key_filter(keys: DataFrame) -> KeyFilter:
-    """The filter of all keys; its bits come to the driver, FILTER_BITS / 8 bytes at most."""
-    n = max(1, keys.count())
-    bits = min(FILTER_BITS, max(_BLOCK, 1 << math.ceil(math.log2(BITS_A_KEY * n))))
+def _key_filter(keys: DataFrame, n: int) -> KeyFilter:
+    """The filter of all n keys; its bits come to the driver, FILTER_BITS / 8 bytes at most."""
+    bits = min(FILTER_BITS, max(_BLOCK, 1 << math.ceil(math.log2(BITS_A_KEY * max(1, n)))))
     rows = keys.mapInArrow(_filter_rows(bits), "block bigint, data binary").groupBy("block").applyInArrow(_either, "block bigint, data binary").collect()
     data = np.zeros(bits // 8, np.uint8)
     for r in rows:
@@ -183,9 +187,8 @@ def _hit_rows(kinds: list[tuple[int, int]], known, t: float, miss: float):
                 w = textcore.split_words(b.column("text"))
                 h, found = w.hashes(), []
                 for width in sorted({x for x, _ in kinds}):
-                    for c, doc, low in _sketches(w, h, width, [c for x, c in kinds if x == width], t, miss):
-                        i = known.value.admits(low, width, c)
-                        found.append((doc[i], low[i].view(np.int64), np.full(len(i), width, np.int32), np.full(len(i), c, np.int32)))
+                    for c, doc, low in _sketches(w, h, width, [c for x, c in kinds if x == width], t, miss, known.value):
+                        found.append((doc, low.view(np.int64), np.full(len(doc), width, np.int32), np.full(len(doc), c, np.int32)))
                 if not found or not sum(len(x[0]) for x in found):
                     continue
                 doc, *rest = (np.concatenate(x) for x in zip(*found))
@@ -239,8 +242,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     # rows of one id are items of their own
     items = stored(items.withColumn("item_no", F.monotonically_increasing_id()))
     keys = stored(items.select(F.col("item_no").alias("item_id"), "item").repartition(partitions(spark)).mapInArrow(_item_rows(k), "key bigint, width int, class int, item_id bigint"))
-    kinds = [(r["width"], r["class"]) for r in keys.select("width", "class").distinct().collect()]  # k times the logarithm of an item's size at most
-    known = spark.sparkContext.broadcast(_key_filter(keys))
+    counts = {(r["width"], r["class"]): r["count"] for r in keys.groupBy("width", "class").count().collect()}  # k times the logarithm of an item's size at most
+    kinds = sorted(counts)
+    known = spark.sparkContext.broadcast(_key_filter(keys, sum(counts.values())))
     hits = stored(docs.mapInArrow(_hit_rows(kinds, known, threshold, miss), HIT).withColumn("row", F.monotonically_increasing_id()))
     asked = hits.select("row", F.explode("keys").alias("x")).select("row", "x.*")
     pairs = asked.join(keys.withColumnRenamed("item_id", "item_no"), ["key", "width", "class"]).select("row", "item_no").distinct()
