@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_S = 5.0
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
@@ -35,6 +38,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_cleaned = 0.0
+
+
+def _clean(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffles that nothing refers to; at most once in CLEAN_S seconds, as it collects garbage for that."""
+    global _cleaned
+    if time.monotonic() - _cleaned >= CLEAN_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _cleaned = time.monotonic()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there.
 
@@ -47,8 +62,7 @@ def stored(df: DataFrame) -> DataFrame:
     atexit.register(_remove, spark, path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffles nothing refers to
+    _clean(spark)
     return spark.read.schema(schema).parquet(path)
 
 
