@@ -267,4 +267,6 @@ def align_groups(df: DataFrame, group: str, order: str, text: str, **costs) -> D
         pdf = pdf.sort_values(order, kind="stable")
         return pdf.assign(aligned=align_many([s or "" for s in pdf[text]], **costs))
 
-    return df.groupBy(group).applyInPandas(run, schema)
+    # groups are few bytes but much work: their partitions aren't to be merged
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
+    return spread.groupBy(group).applyInPandas(run, schema)

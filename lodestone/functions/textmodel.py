@@ -89,17 +89,18 @@ def _ngram_score_here(docs: DataFrame, doc_id: str, text: str, ngrams: list[str]
             covered, matched = [], []
             for t in b.column(text):
                 t = t.as_py() or ""
-                found, chars, last = set(), 0, 0
-                for i in range(len(t) - n + 1):
-                    if (g := t[i : i + n]) in known:
-                        found.add(g)
-                        chars += i + n - max(i, last)
-                        last = i + n
+                found, chars, last = known.intersection(map(t.__getitem__, map(slice, range(len(t) - n + 1), range(n, len(t) + 1)))), 0, 0
+                if found:
+                    for i in range(len(t) - n + 1):
+                        if t[i : i + n] in found:
+                            chars += i + n - max(i, last)
+                            last = i + n
                 covered.append(chars / len(t) if t else 0.0)
                 matched.append(len(found))
             yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(covered, pa.float64()), pa.array(matched, pa.int64())], [doc_id, "covered", "matched"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, covered double, matched bigint")
+    spread = docs.select(doc_id, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # many characters are few bytes to read
+    return spread.mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, covered double, matched bigint")
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
