@@ -146,6 +146,61 @@ def test_jaccard_join_of_two_texts_under_one_id(spark):
     assert jaccard_join.jaccard_join(d.limit(0)).count() == 0
 
 
+def brute_classes(rows, t):
+    """Class and number of links of each id; an id may have several texts."""
+    sets = [(i, next(iter(sets_of([(i, x)]).values()))) for i, x in rows if i is not None and words(x)]
+    near = defaultdict(set)
+    for (i, a), (k, b) in combinations(sets, 2):
+        if i != k and len(a & b) / len(a | b) >= t:
+            near[i].add(k)
+            near[k].add(i)
+    want = {}
+    for i in sorted({i for i, _ in rows if i is not None}):
+        todo = [i] if i not in want else []
+        while todo:
+            k = todo.pop()
+            if k not in want:
+                want[k] = (i, len(near[k]))
+                todo += near[k]
+    return want
+
+
+def class_rows(df):
+    rows = [(r["doc_id"], (r["class_id"], r["n_links"])) for r in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+@pytest.mark.parametrize("group_tokens,cells,sparse", [(4_000_000, 8_000_000, 0.002), (60, 300, 0.5)])
+def test_classes_count_every_link(spark, monkeypatch, group_tokens, cells, sparse):
+    for name, value in (("GROUP_TOKENS", group_tokens), ("_MATRIX_CELLS", cells), ("_SPARSE", sparse)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus(1)
+    rows += [(1000 + 100 * k + i, rows[i][1]) for k in range(4) for i in range(0, 60, 7)]
+    # ids with several texts, equal to or near those of others
+    rows += [(2000 + i % 3, rows[i][1]) for i in range(12)] + [(5, rows[6][1]), (7, rows[7][1])] + edited_under_one_id()[0]
+    rows += [(3000, None), (3001, "..."), (None, rows[0][1])]
+    got, want = class_rows(jaccard_join.classes(spark.createDataFrame(rows, DOCS))), brute_classes(rows, 0.6)
+    assert got == want and max(n for _, n in want.values()) > 10
+    assert jaccard_join.classes(spark.createDataFrame(rows[:0], DOCS)).count() == 0
+
+
+def test_a_family_is_compared_as_a_few_groups(spark):
+    """Links grow with the square of a family; groups, and what is sent to them, don't."""
+    r = np.random.default_rng(3)
+    text = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        w = list(text)
+        for k in range(int(r.integers(1, 6))):
+            w[int(r.integers(len(w)))] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, DOCS)
+    sets = jaccard_join._set_join(d, 0.6, 3)[2]
+    assert sets.count() == 600 and sets.select("g").distinct().count() < 10
+    assert class_rows(jaccard_join.classes(d)) == {i: (0, 599) for i in range(600)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (101, 100), (7, 7), (None, 3)]
     got = {r["doc_id"]: r["group_id"] for r in jaccard_join.components(spark.createDataFrame(edges, "doc_id_a bigint, doc_id_b bigint")).collect()}
