@@ -171,6 +171,25 @@ def class_rows(df):
     return dict(rows)
 
 
+def family(n, seed=3):
+    """Copies of a text of 200 words, each with up to five words of its own."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        w = [f"t{k}" for k in range(200)]
+        for k in range(int(r.integers(1, 6))):
+            w[int(r.integers(len(w)))] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_one_of_each_group_lists_no_square_of_links(spark, monkeypatch):
+    seen, components = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda e: components(seen.append(e.count()) or e))
+    kept = jaccard_join.one_of_each_group(spark.createDataFrame(family(300), DOCS))
+    assert [r["doc_id"] for r in kept.collect()] == [0] and seen[0] < 10 * 300
+
+
 @pytest.mark.parametrize("group_tokens,cells,sparse", [(4_000_000, 8_000_000, 0.002), (60, 300, 0.5)])
 def test_classes_count_every_link(spark, monkeypatch, group_tokens, cells, sparse):
     for name, value in (("GROUP_TOKENS", group_tokens), ("_MATRIX_CELLS", cells), ("_SPARSE", sparse)):
@@ -187,15 +206,7 @@ def test_classes_count_every_link(spark, monkeypatch, group_tokens, cells, spars
 
 def test_a_family_is_compared_as_a_few_groups(spark):
     """Links grow with the square of a family; groups, and what is sent to them, don't."""
-    r = np.random.default_rng(3)
-    text = [f"t{i}" for i in range(200)]
-    rows = []
-    for i in range(600):
-        w = list(text)
-        for k in range(int(r.integers(1, 6))):
-            w[int(r.integers(len(w)))] = f"e{i}x{k}"
-        rows.append((i, " ".join(w)))
-    d = spark.createDataFrame(rows, DOCS)
+    d = spark.createDataFrame(family(600), DOCS)
     sets = jaccard_join._set_join(d, 0.6, 3)[2]
     assert sets.count() == 600 and sets.select("g").distinct().count() < 10
     assert class_rows(jaccard_join.classes(d)) == {i: (0, 599) for i in range(600)}
