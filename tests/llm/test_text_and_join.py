@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, jaccard_join, suffix_repeats, textcore
+from lodestone.llm import decontaminate, jaccard_join, queries, suffix_repeats, textcore
 
 WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 DOCS = "doc_id bigint, text string"
@@ -322,6 +322,39 @@ def test_maximal_repeats(spark, seed, least):
     assert found_repeats(suffix_repeats.maximal_repeats(spark.createDataFrame(rows, DOCS), least)) == brute_repeats(rows, least)
 
 
+def repeats_of_places(df):
+    """Repeats with all occurrences, as found_repeats() has them, and the number of rows."""
+    rows = df.collect()
+    repeats, places = {r["repeat_id"]: (r["parent_id"], r["n_words"], r["n_occurrences"]) for r in rows}, defaultdict(set)
+    for r in rows:
+        i = r["repeat_id"]
+        while i is not None:
+            places[i].add((r["doc_id"], r["start"]))
+            i = repeats[i][0]
+    assert all(len(places[i]) == n for i, (_, _, n) in repeats.items())
+    assert all(up is None or repeats[up][1] < w for up, w, _ in repeats.values())
+    return {(w, tuple(sorted(places[i]))) for i, (_, w, _) in repeats.items()}, len(rows)
+
+
+@pytest.mark.parametrize("seed,least,at_once", [(1, 6, 200_000), (3, 2, 7)])
+def test_repeat_places_have_every_repeat_and_occurrence(spark, monkeypatch, seed, least, at_once):
+    monkeypatch.setattr(suffix_repeats, "OCCURRENCES_AT_ONCE", at_once)
+    r = np.random.default_rng(seed)
+    rows = corpus(seed, 40)
+    rows += [(100, "a b c d e f g h " * 8), (101, "q " * 60), (102, " ".join(r.choice(["x", "y"], 80))), (None, "q " * 60), (103, None), (101, "q " * 60)]
+    d = spark.createDataFrame(rows, DOCS)
+    want = brute_repeats(rows[:-1], least)
+    got, n = repeats_of_places(suffix_repeats.repeat_places(d, least))
+    assert got == want
+    assert n <= len({p for _, o in want for p in o}) + len(want)
+    assert suffix_repeats.repeat_places(d.limit(0)).count() == 0
+
+
+def test_op9_has_a_doc_id_in_each_row(spark, sf):
+    df = queries.QUERIES["op9_suffix_array_repeats"](spark, sf)
+    assert dict(df.dtypes)["doc_id"] == "bigint" and df.filter("doc_id is null").count() == 0
+
+
 def test_maximal_repeats_odd_rows(spark):
     p = " ".join(f"p{i}" for i in range(60))
     rows = [(1, p), (2, "x " + p + " y"), (3, None), (None, p), (4, ""), (5, p), (5, p), (6, "short")]
