@@ -11,7 +11,8 @@ Word and byte counts come from all documents, and so does training: the rounds
 share out the documents, and each trains on its own.  In a round every task trains
 from the same weights on its documents of that round by backpropagation truncated
 to 32 steps, and the weights are averaged through a reduction tree.  Texts are
-turned into tokens once, into a table that all rounds and the scoring read.
+turned into tokens once, into a table that all rounds and the scoring read, each
+spread anew over tasks of the same size.
 
 Scoring runs over whole documents, hundreds at a time in parallel lanes, in
 windows of 32 steps; a lane's state is carried from window to window, and reset
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import shape, textcore
@@ -220,6 +221,13 @@ def initial(edges: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
 
 LEARNT = ("e", "u", "cw", "cb", "ow", "ob")
 START = WORDS
+#: Factors of what a word and what the state add to update gate, reset gate and candidate.
+HALVED = np.array([[[0.5], [0.5], [1]], [[0.5], [0.5], [0.5]]], F32)
+
+
+def planes(u: np.ndarray) -> np.ndarray:
+    """The columns of update gate, reset gate and candidate as three matrices."""
+    return np.ascontiguousarray(u.reshape(len(u), 3, -1).transpose(1, 0, 2))
 
 
 def _gate(x: np.ndarray) -> None:
@@ -236,14 +244,21 @@ def _bounded(w: np.ndarray, bias: np.ndarray, axis: int) -> bool:
     return float((np.abs(w).sum(axis=axis) + np.abs(bias)).max()) < 60
 
 
-def _softmax(x: np.ndarray, target: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """In place: exponentials, their sums, and the log-probabilities of the targets."""
+def _softmax(x: np.ndarray, target: np.ndarray, bounded: bool, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In place: exponentials; what each column of them is to be multiplied by, the sums of these products, and the log-probabilities of the targets.
+
+    Where outputs are bounded a bias is a factor of its column's exponential, and isn't added to each row.
+    """
+    by = np.exp(bias) if bounded else np.ones(x.shape[1], x.dtype)
     if not bounded:
+        x += bias
         x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), target]
+    picked = np.take(x.reshape(-1), np.arange(0, x.size, x.shape[1]) + target)
+    if bounded:
+        picked += bias[target]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return picked - np.log(total), total
+    total = x @ by
+    return picked - np.log(total), total, by
 
 
 def _by_class(target: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,14 +268,13 @@ def _by_class(target: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     return c.astype(np.int64), np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(edges) - 1))])
 
 
-def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target word given a state."""
+def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray, bounded: tuple[bool, bool] | None = None) -> np.ndarray:
+    """Log-probability of each target word given a state; bounded: what _bounded says of classes and of words, where that is known."""
     edges = p["edges"]
     k, order, at = _by_class(target, edges)
-    n, small = len(edges) - 1, _bounded(p["ow"], p["ob"], 1)
-    logit = h @ p["cw"][:, :n]
-    logit += p["cb"][:n]
-    out, _ = _softmax(logit, k, _bounded(p["cw"], p["cb"], 0))
+    n = len(edges) - 1
+    large, small = bounded or (_bounded(p["cw"], p["cb"], 0), _bounded(p["ow"], p["ob"], 1))
+    out = _softmax(h @ p["cw"][:, :n], k, large, p["cb"][:n])[0]
     alone = at[np.argmax(np.append(np.diff(edges) > 1, True))]  # words of the first classes are alone in them
     order = order[alone:]
     hs, ys, words = np.take(h, order, axis=0), target[order], np.zeros(len(order), F32)
@@ -268,9 +282,7 @@ def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarra
         lo, hi = at[k] - alone, at[k + 1] - alone
         if 0 <= lo < hi:
             own, (a, b) = slice(lo, hi), edges[k : k + 2]
-            logit = hs[own] @ p["ow"][a:b].T
-            logit += p["ob"][a:b]
-            words[own], _ = _softmax(logit, ys[own] - a, small)
+            words[own] = _softmax(hs[own] @ p["ow"][a:b].T, ys[own] - a, small, p["ob"][a:b])[0]
     out[order] += words
     return out
 
@@ -310,30 +322,44 @@ def score_texts(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray,
     doc = np.repeat(texts.astype(np.int32), n)
     lane, steps = np.cumsum(length) - length, int(length[0])
     ready = np.searchsorted(-length, -np.arange(steps), side="left")
-    table, u, total = p["e"], p["u"], np.zeros(len(sizes))
-    h, width = np.zeros((len(own), SIZE), F32), len(own)
-    xs, gs, cs, turned = (np.empty((width, k * SIZE), F32) for k in (3, 2, 1, 3))
-    states, places = np.empty((WINDOW * width, SIZE), F32), np.empty(WINDOW * width, np.int64)
+    starts = np.sort((begin - np.repeat(lane, [len(x) for x in own])) * len(own) + np.repeat(np.arange(len(own)), [len(x) for x in own]))
+    starts_at, starts = np.searchsorted(starts, np.arange(steps + 1) * len(own)), starts % len(own)
+    # update gate, reset gate and candidate are planes of their own; what the gates' tanh gets, and what the reset gate multiplies, are halved
+    table, u, total = (p["e"].reshape(-1, 3, SIZE) * HALVED[0]).reshape(-1, SIZE), planes(p["u"]) * HALVED[1][:, None], np.zeros(len(sizes))
+    h, width, half = np.zeros((len(own), SIZE), F32), len(own), F32(0.5)
+    bounded = _bounded(p["cw"], p["cb"], 0), _bounded(p["ow"], p["ob"], 1)
+    xs, turned = np.empty(3 * width * SIZE, F32), np.empty(3 * width * SIZE, F32)
+    states, places, rows = np.empty((WINDOW * width, SIZE), F32), np.empty(WINDOW * width, np.int64), np.empty(3 * width, np.int64)
     for t0 in range(0, steps, WINDOW):
         n = 0
         for t in range(t0, min(t0 + WINDOW, steps)):
             b = int(ready[t])
             at = np.add(lane[:b], t, out=places[n : n + b])
-            s, src, g, c = h[:b], source[at], gs[:b], cs[:b]
-            s[src == START] = 0
-            x, a = np.take(table, src, axis=0, out=xs[:b], mode="clip"), np.matmul(s, u, out=turned[:b])
-            np.add(x[:, : 2 * SIZE], a[:, : 2 * SIZE], out=g)
-            _gate(g)
-            np.multiply(g[:, SIZE:], a[:, 2 * SIZE :], out=c)
-            c += x[:, 2 * SIZE :]
+            s, row = h[:b], rows[: 3 * b].reshape(3, b)
+            np.multiply(source[at], 3, out=row[0], dtype=np.int64)
+            np.add(row[0], 1, out=row[1])
+            np.add(row[0], 2, out=row[2])
+            if starts_at[t] < starts_at[t + 1]:
+                s[starts[starts_at[t] : starts_at[t + 1]]] = 0
+            x = np.take(table, row, axis=0, out=xs[: 3 * b * SIZE].reshape(3, b, SIZE), mode="clip")
+            a = np.matmul(s, u, out=turned[: 3 * b * SIZE].reshape(3, b, SIZE))
+            g = x[:2]
+            g += a[:2]
+            np.tanh(g, out=g)
+            z, c = g
+            c *= a[2]
+            c += a[2]
+            c += x[2]
             np.tanh(c, out=c)
             s -= c
-            s *= g[:, :SIZE]
+            s *= half
+            z *= s
+            s += z
             s += c
             states[n : n + b] = s
             n += b
         at = places[:n]
-        total += np.bincount(doc[at], weights=log_probabilities(p, states[:n], target[at].astype(np.int64)), minlength=len(sizes))
+        total += np.bincount(doc[at], weights=log_probabilities(p, states[:n], target[at].astype(np.int64), bounded), minlength=len(sizes))
     return total
 
 
@@ -359,20 +385,22 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
     steps, lanes = source.shape
     d, n, kind = SIZE, steps * lanes, h.dtype
     new = lambda name, *shape: room(name, shape, kind)
-    x = np.take(p["e"], source.reshape(-1), axis=0, out=new("x", n, 3 * d), mode="clip").reshape(steps, lanes, 3 * d)
+    # update gate, reset gate and candidate are planes of their own
+    rows = np.multiply(source[:, None], 3, out=room("rows", (steps, 3, lanes), np.dtype(np.int64)), dtype=np.int64)
+    rows += np.arange(3)[:, None]
+    x = np.take(p["e"].reshape(-1, d), rows, axis=0, out=new("x", steps, 3, lanes, d), mode="clip")
     begins = [np.flatnonzero(row == START) for row in source]
-    before, after, z, r, c, ac = (new(k, steps, lanes, d) for k in ("before", "after", "z", "r", "c", "ac"))
-    turned = new("turned", lanes, 3 * d)
+    before, after, c, turned = (new(k, steps, *w, lanes, d) for k, w in (("before", ()), ("after", ()), ("c", ()), ("turned", (3,))))
+    z, r, ac, u = turned[:, 0], turned[:, 1], turned[:, 2], planes(p["u"])
     for t in range(steps):
         s = before[t]
         s[:] = h
         s[begins[t]] = 0
-        a = np.matmul(s, p["u"], out=turned)
-        _gate(np.add(x[t, :, :d], a[:, :d], out=z[t]))
-        _gate(np.add(x[t, :, d : 2 * d], a[:, d : 2 * d], out=r[t]))
-        ac[t] = a[:, 2 * d :]
+        g = np.matmul(s, u, out=turned[t])[:2]
+        g += x[t, :2]
+        _gate(g)
         v = np.multiply(r[t], ac[t], out=c[t])
-        v += x[t, :, 2 * d :]
+        v += x[t, 2]
         np.tanh(v, out=v)
         h = np.subtract(s, v, out=after[t])
         h *= z[t]
@@ -382,10 +410,10 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
     k, order, at = _by_class(y, edges)
     many, small = len(edges) - 1, _bounded(p["ow"], p["ob"], 1)
     dc = np.matmul(hs, p["cw"][:, :many], out=new("classes", n, many))
-    dc += p["cb"][:many]
-    lp, total = _softmax(dc, k, _bounded(p["cw"], p["cb"], 0))
+    lp, total, by = _softmax(dc, k, _bounded(p["cw"], p["cb"], 0), p["cb"][:many])
     loss = -float(lp.sum())
     dc *= (1 / (total * n))[:, None].astype(kind)
+    dc *= by
     dc[every, k] -= kind.type(1 / n)
     g["cw"], g["cb"] = np.zeros_like(p["cw"]), np.zeros_like(p["cb"])
     g["cw"][:, :many], g["cb"][:many] = hs.T @ dc, np.ones(n, kind) @ dc
@@ -399,10 +427,10 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
         if 0 <= lo < hi:
             own, (a, b) = slice(lo, hi), edges[k : k + 2]
             dw = hk[own] @ p["ow"][a:b].T
-            dw += p["ob"][a:b]
-            lp, total = _softmax(dw, yk[own] - a, small)
+            lp, total, by = _softmax(dw, yk[own] - a, small, p["ob"][a:b])
             loss -= float(lp.sum())
             dw *= (1 / (total * n))[:, None].astype(kind)
+            dw *= by
             dw[every[: len(dw)], yk[own] - a] -= kind.type(1 / n)
             np.matmul(dw.T, hk[own], out=g["ow"][a:b])
             g["ob"][a:b] = ones[: len(dw)] @ dw
@@ -420,43 +448,52 @@ def gradient(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target
     by_r = np.subtract(1, r, out=c)
     by_r *= r
     by_r *= ac
-    # errors of both gates, of the candidate, and of what the state adds to it
-    dg, dcand, dstate = new("dg", steps, lanes, 2 * d), new("dcand", steps, lanes, d), ac
-    dh, ut = np.zeros((lanes, d), kind), np.ascontiguousarray(p["u"].T)
-    turned = new("turned", lanes, d)
+    # errors of both gates, of what the state adds to the candidate, and of the candidate
+    errors = new("errors", steps, 4, lanes, d)
+    dh, ut, turned = np.zeros((lanes, d), kind), np.ascontiguousarray(u.transpose(0, 2, 1)), new("back_turned", 3, lanes, d)
     for t in range(steps - 1, -1, -1):
         dh += dh_out[t]
-        np.multiply(dh, by_z[t], out=dg[t, :, :d])
-        v = np.multiply(dh, by_c[t], out=dcand[t])
-        np.multiply(v, by_r[t], out=dg[t, :, d:])
-        np.multiply(v, r[t], out=dstate[t])
+        e = errors[t]
+        np.multiply(dh, by_z[t], out=e[0])
+        v = np.multiply(dh, by_c[t], out=e[3])
+        np.multiply(v, by_r[t], out=e[1])
+        np.multiply(v, r[t], out=e[2])
         dh *= z[t]
-        dh += np.matmul(dg[t], ut[: 2 * d], out=turned)
-        dh += np.matmul(dstate[t], ut[2 * d :], out=turned)
+        for more in np.matmul(e[:3], ut, out=turned):
+            dh += more
         dh[begins[t]] = 0
-    last = before.reshape(n, d).T
-    g["u"] = np.concatenate([last @ dg.reshape(n, 2 * d), last @ dstate.reshape(n, d)], axis=1)
+    g["u"] = np.matmul(before.transpose(0, 2, 1)[:, None], errors[:, :3]).sum(axis=0).transpose(1, 0, 2).reshape(d, 3 * d)
     flat = source.reshape(-1)
     order = np.argsort(flat, kind="stable")
     begin = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-    spare = x.reshape(-1)
-    g["rows"], g["e"] = flat[order[begin]], np.concatenate([_sums(dg.reshape(n, 2 * d), order, begin, spare[: 2 * d * n].reshape(n, 2 * d)), _sums(dcand.reshape(n, d), order, begin, spare[: d * n].reshape(n, d))], axis=1)
+    g["rows"], g["e"] = flat[order[begin]], _sums(errors, order, begin, x)
     return loss / n, g, h
 
 
-def _sums(x: np.ndarray, order: np.ndarray, begin: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Sums of the rows x[order] from each begin on; long stretches by a product, which is faster than reduceat."""
+def _sums(errors: np.ndarray, order: np.ndarray, begin: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Sums of a window's errors (steps x 4 x lanes) over the places order, from each begin on: of gates and candidate, one after the other.
+
+    Long stretches are summed by a product; of the others all first rows are added at once, all second ones, and so on.
+    """
+    lanes, d = errors.shape[2:]
+    row = (order + order // lanes * (3 * lanes))[:, None] + np.array([0, lanes, 3 * lanes])
+    x, room = errors.reshape(-1, d), room.reshape(-1, 3, d)
     size = np.diff(np.append(begin, len(order)))
-    out, short = np.empty((len(begin), x.shape[1]), x.dtype), size < 24
-    if short.any():
-        rows = order[np.repeat(short, size)]
-        own = np.take(x, rows, axis=0, out=room[: len(rows)], mode="clip")
-        out[short] = np.add.reduceat(own, np.cumsum(size[short]) - size[short], axis=0)
+    out = np.empty((len(begin), 3, d), x.dtype)
+    short = np.flatnonzero(size < 24)
+    short = short[np.argsort(-size[short], kind="stable")]
+    left, total = np.searchsorted(-size[short], -np.arange(24), side="left"), np.zeros((len(short), 3, d), x.dtype)
+    for i in range(23):
+        m = left[i]
+        if not m:
+            break
+        total[:m] += np.take(x, row[begin[short[:m]] + i], axis=0, out=room[:m], mode="clip")
+    out[short] = total
     ones = np.ones(int(size.max()), x.dtype)
-    for i in np.flatnonzero(~short).tolist():
+    for i in np.flatnonzero(size >= 24).tolist():
         n = size[i]
-        np.matmul(ones[:n], np.take(x, order[begin[i] : begin[i] + n], axis=0, out=room[:n], mode="clip"), out=out[i])
-    return out
+        np.matmul(ones[:n], np.take(x, row[begin[i] : begin[i] + n], axis=0, out=room[:n], mode="clip").reshape(n, 3 * d), out=out[i].reshape(-1))
+    return out.reshape(-1, 3 * d)
 
 
 def lanes_for(n: int) -> int:
@@ -611,15 +648,29 @@ def documents_of_round(tokens: DataFrame, k: int, rounds: int) -> DataFrame:
     return tokens.filter(F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(rounds)) == k)
 
 
-def trained(tokens: DataFrame, edges: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights after all rounds, which together train on every document; tokens: rows of TOKENS.
+#: Tokens from which a task of its own is worth starting, and tasks a core over which larger tables are spread, so that cores end at about the same time.
+LEAST_TOKENS, WAVES = 500_000, 4
+
+
+def tasks_for(n: int, cores: int) -> int:
+    """Tasks over which n tokens are spread: one a core, and up to WAVES where each still has FLUSH_WORDS tokens; fewer for small tables."""
+    return max(1, min(cores, n // LEAST_TOKENS), cores * min(WAVES, n // (cores * FLUSH_WORDS)))
+
+
+def spread(tokens: DataFrame, tasks: int | None) -> DataFrame:
+    """The rows in so many partitions of about the same size, whatever the files are; as they are for None."""
+    return tokens if tasks is None else tokens.repartition(tasks, "doc_id", "tokens")
+
+
+def trained(tokens: DataFrame, edges: np.ndarray, rounds: int = ROUNDS, seed: int = 11, tasks: int | None = None) -> dict[str, np.ndarray]:
+    """Weights after all rounds, which together train on every document; tokens: rows of TOKENS; tasks: as in spread().
 
     A round without documents, as in small tables, leaves the weights as they
     are; the initial ones are returned for an empty table only.
     """
     p = initial(edges, seed)
     for k in range(rounds):
-        rows = documents_of_round(tokens, k, rounds).mapInArrow(_train_rows(p), WEIGHTS)
+        rows = spread(documents_of_round(tokens, k, rounds), tasks).mapInArrow(_train_rows(p), WEIGHTS)
         for up in (F.pmod(F.col("node"), F.lit(FAN_IN)), F.lit(0).cast("bigint")):
             rows = rows.withColumn("up", up).groupBy("block", "up").applyInArrow(_averaged, WEIGHTS)
         found = rows.orderBy("block").select("block", "values").collect()  # BLOCKS rows, one model
@@ -649,5 +700,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     docs = docs_of(docs)
     v = vocabulary(docs)
-    tokens = stored(docs.mapInArrow(_token_rows(v), TOKENS))
-    return tokens.mapInArrow(_score_rows(trained(tokens, v.edges, rounds)), "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")
+    seen = Observation()
+    tokens = stored(docs.mapInArrow(_token_rows(v), TOKENS).observe(seen, F.sum(F.length("tokens")).alias("bytes")))
+    tasks = tasks_for((seen.get["bytes"] or 0) // 2, docs.sparkSession.sparkContext.defaultParallelism)
+    return spread(tokens, tasks).mapInArrow(_score_rows(trained(tokens, v.edges, rounds, tasks=tasks)), "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")

@@ -211,6 +211,14 @@ def test_counts_cover_the_corpus(spark):
     assert spelled[0] < 0 and spelled[1] == spelled[2] == 0
 
 
+def test_lm_tasks_have_like_sizes(spark):
+    # a single file of many texts of one size and few tokens is one task, a large one is shared out evenly, however it is stored
+    assert [recurrent_lm.tasks_for(n, 12) for n in (0, 400_000, 3_000_000, 40_000_000, 120_000_000, 1_200_000_000)] == [1, 1, 6, 12, 24, 48]
+    d = spark.createDataFrame([(i, bytes(2 * (i % 50 + 1)), 0.0) for i in range(4000)], recurrent_lm.TOKENS).coalesce(1)
+    sizes = [sum(len(r["tokens"]) for r in part) for part in recurrent_lm.spread(d, 12).rdd.glom().collect()]
+    assert len(sizes) == 12 and sum(sizes) == sum(2 * (i % 50 + 1) for i in range(4000)) and max(sizes) < 1.25 * min(sizes)
+
+
 def test_lm_odd_rows(spark):
     rows = [(i, "red green blue yellow " * (i % 5 + 1)) for i in range(40)] + [(None, "red"), (50, None), (51, ""), (52, "red " * 30_000), (0, "again")]
     d = spark.createDataFrame(rows, DOCS).withColumn("n_tokens", F.lit("x"))
