@@ -107,6 +107,16 @@ def test_leven_and_alignment(spark):
     assert distance.align_many([]) == []
 
 
+CUT = "A &amp;&amp &copy;&copy &#65;&#65 &notit; &AMP;lt; &"
+DECODED = "A &&amp \u00a9&copy A&#65 &notit; &lt; &"
+
+
+def test_entities_end_with_a_semicolon(spark):
+    assert one(spark, text.decode_entities(L(CUT))) == DECODED and one(spark, text.decode_entities(F.lit(None).cast("string"))) is None
+    assert one(spark, text.html_to_text(L(f"<h1>{CUT}</h1>&quo"))) == DECODED + " &quo"
+    assert one(spark, text.html_to_text_smart(L(f"<b>{CUT}</b>x"))) == DECODED + "x"
+
+
 def test_patterns(spark):
     p = markup.Pattern("<table> {* <tr><td>{ARTICLE ..}</td><td>{PRICE}</td></tr> } </table>")
     doc = "<TABLE class='x'> <tr><td>Pen</td><td>1</td></tr> <tr><td> Red  Pencil</td><td>2</td></tr></table>"
