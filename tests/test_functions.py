@@ -115,6 +115,7 @@ def test_entities_end_with_a_semicolon(spark):
     assert one(spark, text.decode_entities(L(CUT))) == DECODED and one(spark, text.decode_entities(F.lit(None).cast("string"))) is None
     assert one(spark, text.html_to_text(L(f"<h1>{CUT}</h1>&quo"))) == DECODED + " &quo"
     assert one(spark, text.html_to_text_smart(L(f"<b>{CUT}</b>x"))) == DECODED + "x"
+    assert markup.Pattern("<title>{TITLE ..}</title>").match(f"<title> {CUT}</title>") == {"TITLE": DECODED}
 
 
 def test_patterns(spark):
