@@ -116,6 +116,9 @@ def test_entities_end_with_a_semicolon(spark):
     assert one(spark, text.html_to_text(L(f"<h1>{CUT}</h1>&quo"))) == DECODED + " &quo"
     assert one(spark, text.html_to_text_smart(L(f"<b>{CUT}</b>x"))) == DECODED + "x"
     assert markup.Pattern("<title>{TITLE ..}</title>").match(f"<title> {CUT}</title>") == {"TITLE": DECODED}
+    page = f"<p><a title='{CUT}\ufdd0' b&amp=1>{CUT}</a><script>a &&amp b</script></p>"
+    assert one(spark, markup.node_texts(L(page), "a")) == [DECODED] and one(spark, markup.node_text(L(page), "a", "title")) == DECODED + "\ufdd0"
+    assert one(spark, markup.node_text(L(page), "script")) == "a &&amp b" and one(spark, markup.parsed_text(L(page))) == DECODED + "a &&amp b"
 
 
 def test_patterns(spark):
