@@ -346,8 +346,8 @@ def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(seen["rows"] == n).alias("counted"), F.lit(seen["seconds"] >= 0).alias("timed"))
 
 
-_q("q186_table_cells", "part", lambda d: d.withColumn("h", F.concat(F.lit("<table><tr><th>Name of it</th><td> <b>"), "p_name", F.lit("</b> </td></tr><tr><td>Type</td><td>"), "p_type", F.lit("</td></tr></table>"))).select("p_partkey", markup.text_after("h", "Name").alias("name"), markup.text_after("h", "Type", True).alias("type"), markup.text_after("h", "Typ", True).alias("none"), markup.re_text("h", r"it (\w+)").alias("first"), markup.re_html("h", "<b>[a-z]+").alias("source"), markup.re_text("h", r"^(\w+)", "td").alias("cell")), "SELECT p_partkey, p_name AS name, p_type AS type, NULL::VARCHAR AS none, regexp_extract(p_name, '^\\w+') AS first, '<b>' || regexp_extract(p_name, '^[a-z]+') AS source, regexp_extract(p_name, '^\\w+') AS cell FROM part")
-_q("q187_pattern_to_struct", "part", lambda d: d.withColumn("h", F.concat(F.lit("<p>"), "p_name", F.lit("</p><i>"), F.col("p_size").cast("string"), F.lit("</i>"))).select("p_partkey", markup.pattern_extract("h", "<p>{NAME ..}</p><i>{SIZE ..}</i>", lower=True, model={"name": "string", "size": "int"}).alias("m")).select("p_partkey", "m.name", "m.size"), "SELECT p_partkey, p_name AS name, p_size AS size FROM part")
+_q("q186_table_cells", "part", lambda d: rows.spread(d.select("p_partkey", "p_name", "p_type"), "p_partkey").withColumn("h", F.concat(F.lit("<table><tr><th>Name of it</th><td> <b>"), "p_name", F.lit("</b> </td></tr><tr><td>Type</td><td>"), "p_type", F.lit("</td></tr></table>"))).select("p_partkey", markup.text_after("h", "Name").alias("name"), markup.text_after("h", "Type", True).alias("type"), markup.text_after("h", "Typ", True).alias("none"), markup.re_text("h", r"it (\w+)").alias("first"), markup.re_html("h", "<b>[a-z]+").alias("source"), markup.re_text("h", r"^(\w+)", "td").alias("cell")), "SELECT p_partkey, p_name AS name, p_type AS type, NULL::VARCHAR AS none, regexp_extract(p_name, '^\\w+') AS first, '<b>' || regexp_extract(p_name, '^[a-z]+') AS source, regexp_extract(p_name, '^\\w+') AS cell FROM part")
+_q("q187_pattern_to_struct", "part", lambda d: rows.spread(d.select("p_partkey", "p_name", "p_size"), "p_partkey").withColumn("h", F.concat(F.lit("<p>"), "p_name", F.lit("</p><i>"), F.col("p_size").cast("string"), F.lit("</i>"))).select("p_partkey", markup.pattern_extract("h", "<p>{NAME ..}</p><i>{SIZE ..}</i>", lower=True, model={"name": "string", "size": "int"}).alias("m")).select("p_partkey", "m.name", "m.size"), "SELECT p_partkey, p_name AS name, p_size AS size FROM part")
 
 # ---- streams
 

@@ -1,12 +1,14 @@
 """Operators that queries don't reach, and the cases that they must get right."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import order
-from lodestone.functions import distance, markup
-from lodestone.operators import aggregate, monitor, sequence, sets
+from lodestone.functions import distance, markup, text
+from lodestone.operators import aggregate, monitor, rows, sequence, sets
+from lodestone.plans import catalogue, families  # noqa: F401 - families registers its queries
 from lodestone.plans.pipeline import Space
 from lodestone.sources import io
 
@@ -118,3 +120,18 @@ def test_statements_over_jdbc(spark, tmp_path):
     assert db.count("kept", "k > 1") == 2
     db.insert("kept", spark.createDataFrame([(4, "d")], "k int, v string"))
     assert db.count("kept") == 4
+
+
+def test_rows_of_one_file_are_spread(spark, tmp_path):
+    spark.range(1000).withColumn("t", F.lit("x")).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    d = rows.spread(spark.read.parquet(f"file://{tmp_path}/one"), "id")
+    sizes = [len(part) for part in d.rdd.glom().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1000 and min(sizes) > 150
+    q = catalogue.QUERIES["q186_table_cells"](spark, "/root/testdata/sf0.001")
+    assert q.rdd.getNumPartitions() == 4
+
+
+def test_equal_values_are_computed_once():
+    seen = []
+    got = text.per_value(lambda a, b: seen.append((a, b)) or a + b, pd.Series(["a", "b", "a", None, "a"]), pd.Series(["x", "y", "x", "y", None]))
+    assert got == ["ax", "by", "ax", None, None] and sorted(seen) == [("a", "x"), ("b", "y")]
