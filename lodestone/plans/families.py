@@ -249,7 +249,7 @@ _q(
 )
 _q("q164_levenshtein_score", "part", lambda d: d.select("p_partkey", F.round(distance.leven_score("p_name", "p_type", 1.0, 1.0), 6).alias("s")), "SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS s FROM part")
 
-_q("q165_alignment_costs", "part", lambda d: d.select("p_partkey", distance.align(F.lower("p_type"), "p_name")["dist"].alias("pair"), distance.align_substring(F.lower("p_type"), "p_name")["dist"].alias("inside")), """
+_q("q165_alignment_costs", "part", lambda d: rows.spread(d.select("p_partkey", "p_type", "p_name"), "p_partkey").select("p_partkey", distance.align(F.lower("p_type"), "p_name")["dist"].alias("pair"), distance.align_substring(F.lower("p_type"), "p_name")["dist"].alias("inside")), """
     WITH d AS (SELECT p_partkey, p_name, lower(p_type) AS t FROM part), s AS (SELECT p_partkey, min(levenshtein(t, substr(p_name, i, n))) AS inside FROM d, range(1, 40) a(i), range(0, 40) b(n) WHERE i + n <= length(p_name) + 1 GROUP BY p_partkey)
     SELECT p_partkey, levenshtein(t, p_name)::DOUBLE AS pair, inside::DOUBLE AS inside FROM d JOIN s USING (p_partkey)""")
 
