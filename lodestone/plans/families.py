@@ -13,7 +13,7 @@ from ..operators import aggregate, monitor, rows, sequence, sets
 from ..session import table
 from ..sources import io
 from ..streaming import windows
-from .catalogue import _DECODED, _NO_TAGS, _SPACED, _q, _sql, query
+from .catalogue import _DECODED, _NO_TAGS, _SPACED, _q, query
 from .pipeline import Pipeline, ensemble, pipeline, sweep_runs
 
 # ---- text
@@ -389,8 +389,28 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, both)
 
 
-# ---- joins that statements pass through
+# ---- joins and frames of statements
 
-_sql("q190_sql_range_join", "SELECT s_suppkey, count(*) AS n FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 500 AND s_acctbal + 500 GROUP BY s_suppkey", "supplier", "customer")
-_sql("q191_sql_full_outer", "SELECT n_name, count(DISTINCT c_custkey) AS c, count(DISTINCT s_suppkey) AS s FROM nation FULL JOIN customer ON n_nationkey = c_nationkey FULL JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name", "nation", "customer", "supplier")
-_sql("q192_sql_frames", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 300 AS high, ntile(4) OVER (ORDER BY event_id) AS q, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS d FROM events", "events")
+# Spark's own plans of these would make all pairs, or take the table through one task
+
+
+@query("q190_sql_range_join", "SELECT s_suppkey, count(*) AS n FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal BETWEEN s_acctbal - 500 AND s_acctbal + 500 GROUP BY s_suppkey")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_acctbal") - 500).alias("low"), (F.col("s_acctbal") + 500).alias("high"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), "c_acctbal")
+    return aggregate.count_within(c, s, "c_acctbal", "low", "high", "k").groupBy("s_suppkey").agg(F.sum("n").alias("n"))
+
+
+@query("q191_sql_full_outer", "SELECT n_name, count(DISTINCT c_custkey) AS c, count(DISTINCT s_suppkey) AS s FROM nation FULL JOIN customer ON n_nationkey = c_nationkey FULL JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name")
+def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a nation's customers and its suppliers are counted apart: a name's distinct keys are the same with and without the other table's rows
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    of = lambda name, key, by: nation.join(table(spark, sf_dir, name), F.col("n_nationkey") == F.col(by), "full").groupBy("n_name").agg(F.countDistinct(key).alias("n"))
+    c, s = of("customer", "c_custkey", "c_nationkey").select("n_name", F.col("n").alias("c"), F.lit(0).cast("bigint").alias("s")), of("supplier", "s_suppkey", "s_nationkey").select("n_name", F.lit(0).cast("bigint").alias("c"), F.col("n").alias("s"))
+    return c.unionAll(s).groupBy("n_name").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+
+@query("q192_sql_frames", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 300 AS high, ntile(4) OVER (ORDER BY event_id) AS q, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS d FROM events")
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sequence.ntile(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), 4, ["event_id"], "q")
+    return d.selectExpr("event_id", "sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 300 AS high", "q", "dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS d")

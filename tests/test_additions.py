@@ -122,6 +122,41 @@ def test_statements_over_jdbc(spark, tmp_path):
     assert db.count("kept") == 4
 
 
+def test_tiles_and_offset_leave_no_task_the_whole_table(spark, tmp_path):
+    d = spark.range(4000).select(((F.col("id") * 7919) % 4001).alias("k"), F.col("id").alias("v"))
+    cols = [sequence.ntile(d.filter(F.col("v") < n), 4, ["k"], "q").groupBy("q").agg(F.count("*").alias("n"), F.min("k").alias("k")).orderBy("k").collect() for n in (4000, 11, 3)]
+    assert [[r["n"] for r in c] for c in cols] == [[1000] * 4, [3, 3, 3, 2], [1] * 3] and [[r["q"] for r in c] for c in cols] == [[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3]]
+    after = sequence.offset(d, 5, ["k"])
+    assert [r["k"] for r in after.collect()] == sorted(r["k"] for r in d.collect())[5:] and sequence.offset(d, 4000, ["k"]).count() == 0
+    assert "Offset" not in after._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(p) for p in sequence.ntile(d, 4, ["k"]).rdd.glom().collect()) < 2000
+
+
+def test_counts_within_ranges_make_no_pairs(spark):
+    r = np.random.default_rng(0)
+    p = [(int(r.integers(0, 4)) if r.random() < 0.9 else None, float(r.integers(-20, 20)) if r.random() < 0.9 else None) for _ in range(300)] + [(1, float("nan"))]
+    q = [(i, int(r.integers(0, 5)), float(v := r.integers(-22, 20)), float(v + 3)) for i in range(60)] + [(60, 1, -0.0, 0.0), (61, 1, 0.0, -0.0), (62, 1, 5.0, 4.0), (63, None, 0.0, 9.0), (64, 1, None, 9.0), (60, 1, -0.0, 0.0)]
+    points, ranges = spark.createDataFrame(p, "g int, x double"), spark.createDataFrame(q, "id int, g int, low double, high double")
+    got = aggregate.count_within(points, ranges, "x", "low", "high", "g")
+    assert got.columns == ["id", "g", "low", "high", "n"] and "NestedLoop" not in got._jdf.queryExecution().toString()
+    want = sorted((i, n) for i, g, lo, hi in q if g is not None and lo is not None and (n := sum(a == g and x is not None and lo <= x <= hi for a, x in p)))
+    assert sorted((x["id"], x["n"]) for x in got.collect()) == want
+
+
+def test_full_join_counts_nations_without_customers_or_suppliers(spark, tmp_path):
+    made = {"nation": ([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "a")], "n_nationkey int, n_name string"), "customer": ([(10, 1), (11, 1), (12, 9), (13, None), (14, 4), (15, 5)], "c_custkey bigint, c_nationkey int"), "supplier": ([(20, 1), (21, 2), (22, 8), (23, 4), (23, 1)], "s_suppkey bigint, s_nationkey int")}
+    for name, (data, kinds) in made.items():
+        spark.createDataFrame(data, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    q = "q191_sql_full_outer"
+    got = catalogue.QUERIES[q](spark, str(tmp_path))
+    sql = catalogue.ORACLE_SQL[q]
+    for name in made:
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").createOrReplaceTempView(f"odd_{name}")
+        sql = sql.replace(f"{name} ", f"odd_{name} ")
+    key = lambda r: str(tuple(r))
+    assert sorted(got.select("n_name", "c", "s").collect(), key=key) == sorted(spark.sql(sql).collect(), key=key)
+
+
 SPREAD = ["q186_table_cells", "q187_pattern_to_struct", "q82_weighted_levenshtein", "q83_align_substring", "q165_alignment_costs"]
 
 
