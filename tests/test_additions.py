@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import order
-from lodestone.functions import distance, markup, text
+from lodestone.functions import distance, markup, text, textmodel
 from lodestone.operators import aggregate, monitor, rows, sequence, sets
 from lodestone.plans import catalogue, families  # noqa: F401 - families registers its queries
 from lodestone.plans.pipeline import Space
@@ -173,3 +173,21 @@ def test_equal_values_are_computed_once():
     seen = []
     got = text.per_value(lambda a, b: seen.append((a, b)) or a + b, pd.Series(["a", "b", "a", None, "a"]), pd.Series(["x", "y", "x", "y", None]))
     assert got == ["ax", "by", "ax", None, None] and sorted(seen) == [("a", "x"), ("b", "y")]
+
+
+def test_top_k_keeps_k_candidates_whatever_the_blocks(spark):
+    r = np.random.default_rng(1)
+    v = r.standard_normal((90, 5))
+    v[30:60] = v[:30] * 2  # ties, settled by id
+    v[60] = v[0]
+    unit, ids = v / np.sqrt((v * v).sum(axis=1, keepdims=True)), np.arange(90)[::-1].copy()
+    c = np.einsum("ij,kj->ik", unit, unit).round(12)
+    want = {(int(ids[q]), int(i), n + 1) for q in range(90) for n, i in enumerate(sorted((ids[j] for j in range(90) if j != q), key=lambda i, q=q: (-c[q, 89 - i], i))[:4])}
+    search = textmodel._Search(ids[:20], unit[:20], 4)
+    for at in range(0, 90, 7):
+        search.add(ids[at : at + 7], unit[at : at + 7])
+        assert len(search.found[0]) <= 4 * 20
+    d = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id bigint, v array<double>")
+    for block in (3, 20, 1024):
+        got = {(x["q"], x["id"], x["r"]) for x in textmodel.cosine_top_k(d, d, "id", "v", 4, block).collect()}
+        assert {g[:2] for g in got} == {w[:2] for w in want} and len(got) == 360
