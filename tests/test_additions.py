@@ -191,3 +191,21 @@ def test_top_k_keeps_k_candidates_whatever_the_blocks(spark):
     for block in (3, 20, 1024):
         got = {(x["q"], x["id"], x["r"]) for x in textmodel.cosine_top_k(d, d, "id", "v", 4, block).collect()}
         assert {g[:2] for g in got} == {w[:2] for w in want} and len(got) == 360
+
+
+def test_cosines_over_a_threshold(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [[f"w{x}" for x in r.integers(0, 12, r.integers(0, 9))] for _ in range(60)]
+    left = spark.createDataFrame([(f"a{i}", [*x, ""]) for i, x in enumerate(texts[:9])] + [("none", None), ("far", ["u"])], "a string, words array<string>")
+    right = spark.createDataFrame([*((i, [*x, "all"]) for i, x in enumerate(texts)), (70, ["own"]), (71, None), (72, [""])], "b int, words array<string>")
+    plain = lambda d: d.withColumn("words", F.filter("words", lambda w: w != ""))
+    model = textmodel.words_model(plain(right), "b", "words")
+    v = [textmodel.tfidf(plain(d), i, "words", model) for d, i in ((left, "a"), (right, "b"))]
+    near = lambda d: {(x["a"], x["b"], round(x["cosine"], 9)) for x in d.collect()}
+    want = near(textmodel.cosine_pairs(*v, "a", "b").filter("cosine > 0.3"))
+    found = lambda d=left, e=right: textmodel.tfidf_cosine_above(d, e, "a", "b", "words", 0.3)
+    assert found().columns == ["a", "b", "cosine"] and near(found()) == want and len(want) > 20
+    monkeypatch.setattr(textmodel, "MATRIX_CELLS", 5)
+    assert near(found()) == want
+    monkeypatch.undo()
+    assert found(left.limit(0)).count() == found(left, right.limit(0)).count() == 0
