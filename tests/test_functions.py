@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +108,18 @@ def test_leven_and_alignment(spark):
     assert distance.align_many([]) == []
 
 
+def test_folded_text_is_taken_in_pieces(spark, monkeypatch):
+    texts = ["żółć Éa", None, "plain", "", "ﬁ½Ⅷ日", "x" * 50] * 7
+    want = ["zoc Ea", None, "plain", "", "fi12VIII", "x" * 50] * 7
+    monkeypatch.setattr(text, "PIECE", 100)
+    seen, real = [], text._folded
+    monkeypatch.setattr(text, "_folded", lambda s: seen.append(s) or real(s))
+    assert text.ascii_fold.func(pa.array(texts)).to_pylist() == want and len(seen) == len(texts)
+    assert text.ascii_fold.func(pa.array([], pa.string())).to_pylist() == []
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", text.ascii_fold("s").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == want and one(spark, text.ascii_fold(L("żó"))) == "zo"
+
+
 CUT = "A &amp;&amp &copy;&copy &#65;&#65 &notit; &AMP;lt; &"
 DECODED = "A &&amp \u00a9&copy A&#65 &notit; &lt; &"
 
