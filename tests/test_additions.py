@@ -209,3 +209,23 @@ def test_cosines_over_a_threshold(spark, monkeypatch):
     assert near(found()) == want
     monkeypatch.undo()
     assert found(left.limit(0)).count() == found(left, right.limit(0)).count() == 0
+
+
+def test_ngrams_are_found_where_they_are(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("ab\u017c\U0001f600"), r.integers(0, 40))) for _ in range(80)] + ["", None, "ab"]
+    ngrams = sorted({t[i : i + 3] for t in texts[:12] for i in range(len(t) - 2)}) + ["abcd", "x"]
+    want = {}
+    for i, t in enumerate(texts):
+        at = [j for j in range(len(t or "") - 2) if t[j : j + 3] in ngrams]
+        want[i] = (len({x for j in at for x in range(j, j + 3)}) / len(t) if t else 0.0, len({t[j : j + 3] for j in at}))
+    monkeypatch.setattr(textmodel, "SEARCHED", 50)
+    found = textmodel.NgramSet(ngrams, 3).find([t or "" for t in texts])
+    assert [(a, b) for a, b, _ in zip(*(x.tolist() for x in found))] == [(i, j) for i, t in enumerate(texts) for j in range(len(t or "") - 2) if t[j : j + 3] in ngrams]
+    d, model = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame([(g,) for g in ngrams], "ngram string")
+    for limit in (textmodel.MODEL_NGRAMS, 0):
+        monkeypatch.setattr(textmodel, "MODEL_NGRAMS", limit)
+        assert {x["i"]: (x["covered"], x["matched"]) for x in textmodel.ngram_score(d, "i", "t", model.filter("length(ngram) = 3"), 3).collect()} == want
+    monkeypatch.undo()
+    assert {x["i"]: (x["covered"], x["matched"]) for x in textmodel.ngram_score(d, "i", "t", model, 3).collect()} == want
+    assert textmodel.ngram_score(d, "i", "t", model.limit(0), 3).agg(F.sum("matched")).collect()[0][0] == 0
